@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import fingerprints, quality
+from . import fingerprints, mixing, quality, urls
 
 QUERIES = {
     "op1_merkle_fingerprints": fingerprints.op1_merkle_fingerprints,
+    "op4_url_filter": urls.op4_url_filter,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op9_curriculum_mix": mixing.op9_curriculum_mix,
 }
 ORACLES = {
     "op1_merkle_fingerprints": fingerprints.OP1_SQL,
+    "op4_url_filter": urls.OP4_SQL,
     "op7_quality_rules": quality.OP7_SQL,
+    "op9_curriculum_mix": mixing.OP9_SQL,
 }
