@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, quality, urls
+from . import fingerprints, mixing, pieces, quality, token_counts, token_frames, urls
 
 QUERIES = {
     "op1_merkle_fingerprints": fingerprints.op1_merkle_fingerprints,
+    "op3_token_frames": token_frames.op3_token_frames,
     "op4_url_filter": urls.op4_url_filter,
+    "op6_token_counts": token_counts.op6_token_counts,
     "op7_quality_rules": quality.op7_quality_rules,
     "op9_curriculum_mix": mixing.op9_curriculum_mix,
+    "op10_sentencepiece": pieces.op10_sentencepiece,
 }
 ORACLES = {
     "op1_merkle_fingerprints": fingerprints.OP1_SQL,
