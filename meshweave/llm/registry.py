@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, html_text, mixing, pieces, quality, token_counts, token_frames, urls, warc
+from . import fingerprints, html_text, jaccard, mixing, pieces, quality, token_counts, token_frames, urls, warc
 
 QUERIES = {
     "op1_merkle_fingerprints": fingerprints.op1_merkle_fingerprints,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_warc": warc.op5_warc,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
     "op9_curriculum_mix": mixing.op9_curriculum_mix,
     "op10_sentencepiece": pieces.op10_sentencepiece,
 }
