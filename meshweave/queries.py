@@ -1,2 +1,189 @@
-QUERIES={}
-ORACLES={}
+"""Registered queries over whole tables, and the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .operators import bayes
+from .operators.whatif import for_each_edge_excluded
+from .sources.tables import ID_STEP, K2_CARDS, order_part, part_next, samples
+
+
+def _op(method, graph=order_part, *args, **kwargs):
+    return lambda spark, sf: getattr(graph(spark, sf), method)(*args, **kwargs)
+
+
+def _dag(spark, sf):
+    return part_next(spark, sf, acyclic=True)
+
+
+def _excluded(g):
+    """A view: edges of weight 50 go, then every part whose key is a multiple of 7, then branch 3."""
+    g = g.without_edges(g.all_edges.where("weight = 50").select("edge_id"))
+    g = g.without_nodes(g.nodes.where("node_id % 2 = 1 and ((node_id - 1) / 2) % 7 = 0"))
+    return g.without_branches(g.all_edges.where("branch_id = 3").select("branch_id").limit(1))
+
+
+def _sizes(spark, sf):
+    g, d = order_part(spark, sf), part_next(spark, sf)
+    row = [(name, x.node_count(), x.edge_count(), x.is_multigraph()) for name, x in (("order_part", g), ("part_next", d))]
+    return spark.createDataFrame(row, "graph string, nodes long, edges long, multigraph boolean")
+
+
+def _what_if(spark, sf):
+    """Components without each of the first three edges of order 0."""
+    g = order_part(spark, sf)
+    ids = [r[0] for r in g.all_edges.where("src = 0").select("edge_id").orderBy("edge_id").limit(3).collect()]
+    out = None
+    for i, found in for_each_edge_excluded(g, "connected_components", ids):
+        one = found.agg(F.lit(i).alias("edge_id"), F.countDistinct("component_id").alias("n_components"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+def _members(spark, sf):
+    out = _excluded(order_part(spark, sf)).connected_components_with_branch_ids()
+    kind = F.when(F.col("branch_id").isNull(), "node").otherwise("branch")
+    return out.select("component_id", kind.alias("kind"), F.coalesce("node_id", "branch_id").alias("member"))
+
+
+def _score_rows(spark, sf):
+    data = samples(spark, sf)
+    families = [(c, ps) for c in K2_CARDS for ps in [(), *[(p,) for p in K2_CARDS if p != c]]]
+    scores = bayes.local_scores(data, K2_CARDS, families)
+    return spark.createDataFrame([(c, ",".join(p), round(s, 4)) for (c, p), s in scores.items()], "child string, parents string, score double")
+
+
+def _cpds(spark, sf):
+    out = bayes.estimate_cpds(samples(spark, sf), K2_CARDS, [("returnflag", "linestatus"), ("linenumber", "quantity")])
+    return out.select("variable", "parent_config", "child_value", F.round("probability", 9).alias("probability"))
+
+
+QUERIES = {
+    "degree": _op("degree"),
+    "neighbors": _op("neighbors"),
+    "incident_edge_indices": _op("incident_edge_indices"),
+    "edge_indices": lambda spark, sf: order_part(spark, sf).all_edges.select("edge_id", "src", "dst"),
+    "out_degree": _op("out_degree", part_next),
+    "in_degree": _op("in_degree", part_next),
+    "successors": _op("successors", part_next),
+    "predecessors": _op("predecessors", part_next),
+    "outgoing_edge_indices": _op("outgoing_edge_indices", part_next),
+    "incoming_edge_indices": _op("incoming_edge_indices", part_next),
+    "graph_sizes": _sizes,
+    "view_degree": lambda spark, sf: _excluded(order_part(spark, sf)).degree(),
+    "view_components": lambda spark, sf: _excluded(order_part(spark, sf)).connected_components(),
+    "view_split_node": lambda spark, sf: (g := order_part(spark, sf)).split_node(0, -2, g.all_edges.where("src = 0 and dst % 4 = 1").select("edge_id")).degree(),
+    "view_with_edges": lambda spark, sf: order_part(spark, sf).with_edges([(0, -4), (-4, -6)]).degree(),
+    "connected_components": _op("connected_components"),
+    "components_with_branches": _members,
+    "weakly_connected_components": _op("weakly_connected_components", part_next),
+    "strongly_connected_components": _op("strongly_connected_components", part_next),
+    "bfs": lambda spark, sf: order_part(spark, sf).bfs(0).select("node_id", "level"),
+    "shortest_path_lengths": _op("shortest_path_lengths", order_part, 0),
+    "shortest_path_lengths_cutoff": _op("shortest_path_lengths", order_part, 0, cutoff=20.0),
+    "multi_source_lengths": _op("multi_source_shortest_path_lengths", order_part, [0, 2, 4]),
+    "eccentricity": _op("eccentricity", order_part, 0),
+    "shortest_path": lambda spark, sf: order_part(spark, sf).shortest_path(0, 201).agg(F.max("distance").alias("distance"), (F.count(F.lit(1)) - 1).alias("hops")),
+    "bridges": _op("bridges"),
+    "bridges_with_branch_ids": _op("bridges_with_branch_ids"),
+    "articulation_points": _op("articulation_points"),
+    "biconnected_components": _op("biconnected_components"),
+    "two_edge_connected_components": _op("two_edge_connected_components"),
+    "cycle_basis": _op("cycle_basis"),
+    "nodes_on_simple_paths": _op("nodes_on_simple_paths", order_part, 0, [201, 203]),
+    "all_edge_paths": lambda spark, sf: (g := order_part(spark, sf)).all_edge_paths(0, g.nodes.where("node_id % 2 = 0"), cutoff=2).select(F.array_join("path", ",").alias("path")),
+    "topological_sort": _op("topological_sort", _dag),
+    "dag_longest_path": lambda spark, sf: _dag(spark, sf).dag_longest_path(unit=True).agg(F.max("length").alias("length"), F.count(F.lit(1)).alias("nodes")),
+    "for_each_edge_excluded": _what_if,
+    "state_counts": lambda spark, sf: bayes.state_counts(samples(spark, sf), K2_CARDS, "quantity", ["returnflag", "linenumber"]),
+    "k2_local_scores": _score_rows,
+    "hill_climb_k2": lambda spark, sf: bayes.hill_climb_k2(samples(spark, sf), K2_CARDS, max_indegree=2),
+    "estimate_cpds": _cpds,
+}
+
+_EDGES = f"""e AS (SELECT l_orderkey::BIGINT * {ID_STEP} + l_partkey::BIGINT AS edge_id, l_orderkey::BIGINT * 2 AS src, l_partkey::BIGINT * 2 + 1 AS dst,
+    min(l_suppkey)::BIGINT AS branch_id, min(l_quantity)::DOUBLE AS weight FROM lineitem GROUP BY l_orderkey, l_partkey),
+  v AS (SELECT o_orderkey::BIGINT * 2 AS node_id FROM orders UNION SELECT p_partkey::BIGINT * 2 + 1 FROM part UNION SELECT src FROM e UNION SELECT dst FROM e)"""
+_NEXT = f"""p AS (SELECT l_partkey::BIGINT AS a, (lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey))::BIGINT AS b FROM lineitem),
+  e AS (SELECT DISTINCT a * {ID_STEP} + b AS edge_id, a AS src, b AS dst FROM p WHERE b IS NOT NULL), v AS (SELECT src AS node_id FROM e UNION SELECT dst FROM e)"""
+_DAG = f"""p AS (SELECT l_partkey::BIGINT AS a, (lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey))::BIGINT AS b FROM lineitem),
+  e AS (SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM p WHERE b IS NOT NULL AND a <> b), v AS (SELECT src AS node_id FROM e UNION SELECT dst FROM e)"""
+_VIEW = f"""{_EDGES}, gone AS (SELECT node_id FROM v WHERE node_id % 2 = 1 AND ((node_id - 1) // 2) % 7 = 0),
+  raw AS (SELECT * FROM e WHERE weight <> 50 AND branch_id <> 3), kept AS (SELECT node_id FROM v EXCEPT SELECT node_id FROM gone),
+  live AS (SELECT * FROM raw WHERE src NOT IN (SELECT node_id FROM gone) AND dst NOT IN (SELECT node_id FROM gone))"""
+_BOTH = "b AS (SELECT src AS x, dst AS y, edge_id, weight FROM e UNION ALL SELECT dst, src, edge_id, weight FROM e)"
+
+
+def _labels(nodes: str, edges: str) -> str:
+    return f"""lab(node_id, c) USING KEY (node_id) AS (SELECT node_id, node_id FROM {nodes} UNION
+    (SELECT d.y, min(l.c) FROM lab l JOIN (SELECT src AS x, dst AS y FROM {edges} UNION ALL SELECT dst, src FROM {edges}) d ON d.x = l.node_id
+     JOIN recurring.lab r ON r.node_id = d.y WHERE l.c < r.c GROUP BY d.y))"""
+
+
+def _reach(sources: str, cutoff: str = "true") -> str:
+    return f"""dist(node_id, d) USING KEY (node_id) AS (SELECT node_id, 0.0::DOUBLE FROM v WHERE node_id IN ({sources}) UNION
+    (SELECT b.y, min(l.d + b.weight) FROM dist l JOIN b ON b.x = l.node_id LEFT JOIN recurring.dist r ON r.node_id = b.y
+     WHERE (r.d IS NULL OR l.d + b.weight < r.d) AND ({cutoff}) GROUP BY b.y))"""
+
+
+def _degree(nodes: str, ends: str) -> str:
+    return f"SELECT n.node_id, count(x.node_id)::BIGINT AS degree FROM {nodes} n LEFT JOIN ({ends}) x ON x.node_id = n.node_id GROUP BY n.node_id"
+
+
+_ENDS = "SELECT src AS node_id FROM e UNION ALL SELECT dst FROM e"
+_FLAG, _STATUS = "instr('ANR', l_returnflag) - 1", "instr('FO', l_linestatus) - 1"
+_SAMPLES = f"""s AS (SELECT ({_FLAG})::BIGINT AS returnflag, ({_STATUS})::BIGINT AS linestatus, (l_linenumber - 1)::BIGINT AS linenumber,
+  floor((l_quantity - 1) / 10)::BIGINT AS quantity FROM lineitem)"""
+
+
+def _k2(child: str, parent: str | None) -> str:
+    by = parent or "0"
+    r = K2_CARDS[child]
+    return f"""SELECT '{child}' AS child, '{parent or ""}' AS parents, round(sum(lgamma({r}) + a - lgamma(n + {r})), 4)::DOUBLE AS score FROM
+      (SELECT j, sum(n) AS n, sum(lgamma(n + 1)) AS a FROM (SELECT {by} AS j, {child} AS k, count(*) AS n FROM s GROUP BY 1, 2) GROUP BY j)"""
+
+
+def _cpd(v: str, parent: str | None) -> str:
+    q, r = K2_CARDS[parent] if parent else 1, K2_CARDS[v]
+    return f"""SELECT '{v}' AS variable, j AS parent_config, k AS child_value, round((count(s.{v}) FILTER (s.{v} = k) + 1)::DOUBLE / (count(s.{v}) + {r}), 9)::DOUBLE AS probability
+      FROM range({q}) a(j) CROSS JOIN range({r}) b(k) LEFT JOIN s ON {f"s.{parent} = j" if parent else "true"} GROUP BY j, k"""
+
+
+ORACLES = {
+    "degree": f"WITH {_EDGES} {_degree('v', _ENDS)}",
+    "neighbors": f"WITH {_EDGES} SELECT src AS node_id, dst AS neighbor FROM e UNION SELECT dst, src FROM e",
+    "incident_edge_indices": f"WITH {_EDGES} SELECT src AS node_id, edge_id FROM e UNION SELECT dst, edge_id FROM e",
+    "edge_indices": f"WITH {_EDGES} SELECT edge_id, src, dst FROM e",
+    "out_degree": f"WITH {_NEXT} {_degree('v', 'SELECT src AS node_id FROM e')}",
+    "in_degree": f"WITH {_NEXT} {_degree('v', 'SELECT dst AS node_id FROM e')}",
+    "successors": f"WITH {_NEXT} SELECT src AS node_id, dst AS neighbor FROM e WHERE src <> dst",
+    "predecessors": f"WITH {_NEXT} SELECT dst AS node_id, src AS neighbor FROM e WHERE src <> dst",
+    "outgoing_edge_indices": f"WITH {_NEXT} SELECT src AS node_id, edge_id FROM e",
+    "incoming_edge_indices": f"WITH {_NEXT} SELECT dst AS node_id, edge_id FROM e",
+    "graph_sizes": f"""SELECT * FROM (WITH {_EDGES} SELECT 'order_part' AS graph, (SELECT count(*) FROM v)::BIGINT AS nodes, (SELECT count(*) FROM e)::BIGINT AS edges, false AS multigraph)
+      UNION ALL SELECT * FROM (WITH {_NEXT} SELECT 'part_next', (SELECT count(*) FROM v)::BIGINT, (SELECT count(*) FROM e)::BIGINT, false)""",
+    "view_degree": f"WITH {_VIEW} {_degree('kept', 'SELECT src AS node_id FROM live UNION ALL SELECT dst FROM live')}",
+    "view_components": f"WITH RECURSIVE {_VIEW}, {_labels('kept', 'live')} SELECT node_id, c AS component_id FROM lab",
+    "view_split_node": f"""WITH {_EDGES} {_degree("(SELECT node_id FROM v UNION SELECT -2)", "SELECT CASE WHEN src = 0 AND dst % 4 = 1 THEN -2 ELSE src END AS node_id FROM e UNION ALL SELECT dst FROM e")}""",
+    "view_with_edges": f"""WITH {_EDGES} {_degree("(SELECT node_id FROM v UNION SELECT -4 UNION SELECT -6)", _ENDS + " UNION ALL SELECT unnest([0, -4, -4, -6])")}""",
+    "connected_components": f"WITH RECURSIVE {_EDGES}, {_labels('v', 'e')} SELECT node_id, c AS component_id FROM lab",
+    "components_with_branches": f"""WITH RECURSIVE {_VIEW}, {_labels('kept', 'live')} SELECT c AS component_id, 'node' AS kind, node_id AS member FROM lab
+      UNION ALL (SELECT DISTINCT coalesce(a.c, b.c, raw.dst), 'branch', branch_id FROM raw LEFT JOIN lab a ON a.node_id = src LEFT JOIN lab b ON b.node_id = dst)""",
+    "weakly_connected_components": f"WITH RECURSIVE {_NEXT}, {_labels('v', 'e')} SELECT node_id, c AS component_id FROM lab",
+    "bfs": f"""WITH RECURSIVE {_EDGES}, b AS (SELECT src AS x, dst AS y, 1.0 AS weight FROM e UNION ALL SELECT dst, src, 1.0 FROM e), {_reach("0")} SELECT node_id, d::BIGINT AS level FROM dist""",
+    "shortest_path_lengths": f"WITH RECURSIVE {_EDGES}, {_BOTH}, {_reach('0')} SELECT node_id, d AS distance FROM dist",
+    "shortest_path_lengths_cutoff": f"WITH RECURSIVE {_EDGES}, {_BOTH}, {_reach('0', 'l.d + b.weight <= 20')} SELECT node_id, d AS distance FROM dist",
+    "multi_source_lengths": f"WITH RECURSIVE {_EDGES}, {_BOTH}, {_reach('0, 2, 4')} SELECT node_id, d AS distance FROM dist",
+    "eccentricity": f"WITH RECURSIVE {_EDGES}, {_BOTH}, {_reach('0')} SELECT max(d) AS eccentricity FROM dist",
+    "all_edge_paths": f"""WITH {_EDGES}, {_BOTH} SELECT b1.edge_id || ',' || b2.edge_id AS path FROM b b1 JOIN b b2 ON b2.x = b1.y AND b2.edge_id <> b1.edge_id WHERE b1.x = 0""",
+    "topological_sort": f"""WITH RECURSIVE {_DAG}, lv(node_id, l) USING KEY (node_id) AS (SELECT node_id, 0::BIGINT FROM v UNION
+      (SELECT e.dst, max(lv.l) + 1 FROM lv JOIN e ON e.src = lv.node_id JOIN recurring.lv r ON r.node_id = e.dst WHERE lv.l + 1 > r.l GROUP BY e.dst))
+      SELECT node_id, l AS level FROM lv""",
+    "dag_longest_path": f"""WITH RECURSIVE {_DAG}, lv(node_id, l) USING KEY (node_id) AS (SELECT node_id, 0::BIGINT FROM v UNION
+      (SELECT e.dst, max(lv.l) + 1 FROM lv JOIN e ON e.src = lv.node_id JOIN recurring.lv r ON r.node_id = e.dst WHERE lv.l + 1 > r.l GROUP BY e.dst))
+      SELECT max(l)::DOUBLE AS length, (max(l) + 1)::BIGINT AS nodes FROM lv""",
+    "state_counts": f"WITH {_SAMPLES} SELECT returnflag * 7 + linenumber AS parent_config, quantity AS child_value, count(*)::BIGINT AS n FROM s GROUP BY 1, 2",
+    "k2_local_scores": f"WITH {_SAMPLES} " + " UNION ALL ".join(_k2(c, p) for c in K2_CARDS for p in [None, *[x for x in K2_CARDS if x != c]]),
+    "estimate_cpds": f"WITH {_SAMPLES} " + " UNION ALL ".join(_cpd(v, {"linestatus": "returnflag", "quantity": "linenumber"}.get(v)) for v in K2_CARDS),
+}
