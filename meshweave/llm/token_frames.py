@@ -150,7 +150,7 @@ def write_shards(df: DataFrame, folder: str, tokenizer: str, end_id: int) -> lis
 
         enc, writer, place = encoder(tokenizer), None, TaskContext.get().partitionId()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 512):
                 ids = part.column("id").to_pylist()
                 for doc_id, got in zip(ids, enc.encode(part.column("text").to_pylist())):
                     if writer is None:

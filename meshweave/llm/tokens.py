@@ -16,7 +16,9 @@ from itertools import chain
 import numpy as np
 
 #: Units that the cache holds at most; longer units than this many characters are not kept.
-CACHE_UNITS, CACHE_CHARS = 400_000, 64
+CACHE_UNITS, CACHE_CHARS = 1_000_000, 64
+#: Units that are encoded as one text.
+PACK = 400
 _BESIDE = re.compile(r" \s|\s |\A | \Z")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -46,31 +48,56 @@ class UnitEncoder:
             and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
         )
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}
+        # bytes that each id stands for: a byte-level token has a character for each byte
+        added = {t["id"]: t["content"] for t in spec["added_tokens"]}
+        self.lengths = np.zeros(max(self.tok.get_vocab_size(), *added, 0) + 1, np.int64)
+        for token, k in self.tok.get_vocab().items():
+            self.lengths[k] = len(added[k].encode()) if k in added else len(token)
 
     @staticmethod
     def units(text: str) -> list[str]:
         parts = _CUT.split(text) if _BESIDE.search(text) else text.split(" ")
         return [parts[0], *[" " + x for x in parts[1:]]]
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+
+    def _packed(self, units: list[str]) -> list[bytes]:
+        """The ids of units that begin with a space before, and end with, what is no white space.
+
+        They are encoded as one text, in which every unit is still a unit, and cut by their bytes.
+        """
+        out: list[bytes] = []
+        packs = [units[k : k + PACK] for k in range(0, len(units), PACK)]
+        for pack, e in zip(packs, self.tok.encode_batch(["".join(p) for p in packs], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            ends, want = np.cumsum(self.lengths[ids]), np.cumsum([len(u.encode()) for u in pack])
+            cuts = np.searchsorted(ends, want) + 1
+            if len(ends) < cuts[-1] or (ends[cuts - 1] != want).any():
+                out += self._ids(pack)
+                continue
+            raw, at = ids.tobytes(), 0
+            for c in (4 * cuts).tolist():
+                out.append(raw[at:c])
+                at = c
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit integers."""
         if not self.apart:
-            return [np.asarray(x, np.uint32) for x in self._ids(texts)]
+            return [np.frombuffer(x, np.uint32) for x in self._ids(texts)]
         if len(self.cache) > CACHE_UNITS:
             self.cache.clear()
         cut = [self.units(t) for t in texts]
-        new = [u for u in dict.fromkeys(chain.from_iterable(cut)) if u not in self.cache]
+        new = list(set(chain.from_iterable(cut)).difference(self.cache))
+        plain = [u for u in new if len(u) > 1 and u[0] == " " and not u[1].isspace() and not u[-1].isspace()]
+        rest = list(set(new).difference(plain))
         once = {}
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for u, ids in zip(part, self._ids(part)):
-                (self.cache if len(u) <= CACHE_CHARS else once)[u] = tuple(ids)
+        for u, ids in chain(zip(plain, self._packed(plain)), zip(rest, self._ids(rest))):
+            (self.cache if len(u) <= CACHE_CHARS else once)[u] = ids
         get = self.cache.__getitem__ if not once else lambda u: self.cache[u] if u in self.cache else once[u]
-        return [np.fromiter(chain.from_iterable(map(get, x)), np.uint32) for x in cut]
+        return [np.frombuffer(b"".join(map(get, x)), np.uint32) for x in cut]
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}
