@@ -1 +1 @@
-"""Part of meshweave."""
+"""Part of meshweave; see the README."""
