@@ -136,6 +136,17 @@ def test_jaccard_components(spark, docs, group, monkeypatch):
     assert jaccard.components(docs.limit(0)).count() == 0
 
 
+def test_sketches_lose_no_link():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 17, 60, 600):
+        for share in (0.5, 0.8, 0.9, 0.95, 1.0):
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            b = np.unique(np.concatenate([a[: max(1, int(share * len(a)))], rng.integers(0, 1 << 63, max(1, n // 9)).astype(np.uint64)]))
+            may = jaccard.may_link(len(a), jaccard._sketch(a), len(b), jaccard._sketch(b), 85)
+            assert may or not jaccard.linked(a, b, 85)
+            assert not may or share >= 0.8 or n < 60
+
+
 def test_signatures_meet():
     rng = np.random.default_rng(1)
     scheme = jaccard.PartEnum(85)
