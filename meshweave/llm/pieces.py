@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .text import table
-from .tokens import CACHE_CHARS, CACHE_UNITS, default_path, slices
+from .tokens import CACHE_CHARS, default_path, slices
 
 MARK = "▁"
 # Fixed values of the model format: field numbers and piece types.
@@ -39,6 +39,8 @@ PIECE, SCORE, TYPE = 1, 2, 3
 CHARS_MAP, DUMMY_PREFIX, EXTRA_SPACES, ESCAPE = 2, 3, 4, 5
 USER_DEFINED, BYTE = 4, 6
 MARK_AS_SUFFIX = 24
+#: Units that a worker keeps, at about 400 bytes each.
+CACHE_UNITS = 250_000
 _UNITS = re.compile(r" +[^ ]*")
 
 
