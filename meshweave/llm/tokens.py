@@ -4,6 +4,10 @@ A text is cut before a space that stands between two characters that are no whit
 byte-level BPE (pattern pre-tokenizer, no normalizer, no added token with white space) always ends a
 pre-token and starts another, and no merge crosses from one pre-token to the next: the ids of the text
 are those of its units in a row. Where a tokenizer is built otherwise, whole texts are encoded.
+
+Texts are first cut at every space. If a new part is empty or touches other white space, the texts that
+have it are cut again, between two characters that are no white space; such parts stay out of the cache, so
+that what is in the cache needs no second look.
 """
 
 from __future__ import annotations
@@ -19,7 +23,6 @@ import numpy as np
 CACHE_UNITS, CACHE_CHARS = 1_000_000, 64
 #: Units that are encoded as one text.
 PACK = 400
-_BESIDE = re.compile(r" \s|\s |\A | \Z")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -55,32 +58,27 @@ class UnitEncoder:
         for token, k in self.tok.get_vocab().items():
             self.lengths[k] = len(added[k].encode()) if k in added else len(token)
 
-    @staticmethod
-    def units(text: str) -> list[str]:
-        parts = _CUT.split(text) if _BESIDE.search(text) else text.split(" ")
-        return [parts[0], *[" " + x for x in parts[1:]]]
-
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _packed(self, units: list[str]) -> list[bytes]:
-        """The ids of units that begin with a space before, and end with, what is no white space.
+        """The ids of units, each after a space; they begin and end with what is no white space.
 
         They are encoded as one text, in which every unit is still a unit, and cut by their bytes.
         """
         out: list[bytes] = []
         packs = [units[k : k + PACK] for k in range(0, len(units), PACK)]
-        for pack, e in zip(packs, self.tok.encode_batch(["".join(p) for p in packs], add_special_tokens=False)):
+        joined = [" " + " ".join(p) for p in packs]
+        for pack, text, e in zip(packs, joined, self.tok.encode_batch_fast(joined, add_special_tokens=False)):
             ids = np.array(e.ids, np.uint32)
-            ends, want = np.cumsum(self.lengths[ids]), np.cumsum([len(u.encode()) for u in pack])
+            sizes = map(len, pack) if text.isascii() else (len(u.encode()) for u in pack)
+            ends, want = np.cumsum(self.lengths[ids]), np.cumsum(np.fromiter(sizes, np.int64, len(pack)) + 1)
             cuts = np.searchsorted(ends, want) + 1
             if len(ends) < cuts[-1] or (ends[cuts - 1] != want).any():
-                out += self._ids(pack)
+                out += self._ids([" " + u for u in pack])
                 continue
-            raw, at = ids.tobytes(), 0
-            for c in (4 * cuts).tolist():
-                out.append(raw[at:c])
-                at = c
+            raw, cuts = ids.tobytes(), (4 * cuts).tolist()
+            out += [raw[at:c] for at, c in zip([0, *cuts], cuts)]
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -89,15 +87,23 @@ class UnitEncoder:
             return [np.frombuffer(x, np.uint32) for x in self._ids(texts)]
         if len(self.cache) > CACHE_UNITS:
             self.cache.clear()
-        cut = [self.units(t) for t in texts]
-        new = list(set(chain.from_iterable(cut)).difference(self.cache))
-        plain = [u for u in new if len(u) > 1 and u[0] == " " and not u[1].isspace() and not u[-1].isspace()]
-        rest = list(set(new).difference(plain))
-        once = {}
-        for u, ids in chain(zip(plain, self._packed(plain)), zip(rest, self._ids(rest))):
+        # what the cache holds is clean: it neither begins nor ends with white space, so only new units need a look
+        cut = [t.split(" ") for t in texts]
+        heads = [x.pop(0) for x in cut]
+        new = set(chain.from_iterable(cut)).difference(self.cache)
+        dirty = {u for u in new if not u or u.strip() != u}
+        again = [k for k, h in enumerate(heads) if not h or h[-1].isspace() or (dirty and not dirty.isdisjoint(cut[k]))]
+        if again:
+            for k in again:
+                heads[k], *cut[k] = _CUT.split(texts[k])
+            new = set(chain.from_iterable(cut)).difference(self.cache)
+        plain = [u for u in new if u.strip() == u] if again else list(new)
+        rest = list(new.difference(plain)) if again else []
+        once = dict(zip(rest, self._ids([" " + u for u in rest])))
+        for u, ids in zip(plain, self._packed(plain)):
             (self.cache if len(u) <= CACHE_CHARS else once)[u] = ids
         get = self.cache.__getitem__ if not once else lambda u: self.cache[u] if u in self.cache else once[u]
-        return [np.frombuffer(b"".join(map(get, x)), np.uint32) for x in cut]
+        return [np.frombuffer(b"".join([h, *map(get, x)]), np.uint32) for h, x in zip(self._ids(heads), cut)]
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}
