@@ -50,7 +50,7 @@ class SplicedCounter:
 
     def count(self, text: str) -> int:
         if len(text) <= self.huge:
-            return len(self.tok.encode(text, add_special_tokens=False).ids)
+            return len(self.tok.encode_batch_fast([text], add_special_tokens=False)[0])
         total, end = 0, min(len(text), self.chunk)
         n, at = self._encode(text, 0, end)
         base, left = 0, 0  # tokens of the left chunk before its part that counts; where that part begins
@@ -89,7 +89,7 @@ def count_tokens(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
                 texts = part.column("text").to_pylist()
                 short = [k for k, t in enumerate(texts) if len(t) <= counter.huge]
                 n = [-1] * len(texts)
-                for k, e in zip(short, counter.tok.encode_batch([texts[k] for k in short], add_special_tokens=False)):
+                for k, e in zip(short, counter.tok.encode_batch_fast([texts[k] for k in short], add_special_tokens=False)):
                     n[k] = len(e)
                 n = [counter.count(t) if x < 0 else x for t, x in zip(texts, n)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("n_bytes"), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
