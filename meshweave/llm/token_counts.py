@@ -1,6 +1,6 @@
 """Token counts; huge documents by overlapping chunks that are spliced where both provably agree.
 
-A document of up to ``HUGE`` characters is encoded whole. A longer one is encoded in chunks that overlap.
+A document of up to ``HUGE`` characters is encoded by its units (see ``tokens``). A longer one is encoded in chunks that overlap.
 The pattern of the pre-tokenizer only looks ahead, a few characters beyond a match, and an added token is
 no longer than ``reach``: so of a chunk that starts at a true pre-token boundary, all pre-token boundaries
 up to ``reach`` before its end are those of the whole text. The next chunk starts anywhere; from the first boundary
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .text import table
-from .tokens import default_path, load_tokenizer, slices
+from .tokens import default_path, encoder, load_tokenizer, slices
 
 #: Characters from which a document is encoded in chunks; a chunk; the overlap of two chunks.
 HUGE, CHUNK, OVERLAP = 1 << 15, 1 << 14, 1 << 10
@@ -83,14 +83,14 @@ def count_tokens(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     def run(batches):
         if tokenizer not in _COUNTERS:
             _COUNTERS[tokenizer] = SplicedCounter(tokenizer)
-        counter = _COUNTERS[tokenizer]
+        counter, units = _COUNTERS[tokenizer], encoder(tokenizer)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 256):
                 texts = part.column("text").to_pylist()
                 short = [k for k, t in enumerate(texts) if len(t) <= counter.huge]
                 n = [-1] * len(texts)
-                for k, e in zip(short, counter.tok.encode_batch_fast([texts[k] for k in short], add_special_tokens=False)):
-                    n[k] = len(e)
+                for k, ids in zip(short, units.encode([texts[k] for k in short])):
+                    n[k] = len(ids)
                 n = [counter.count(t) if x < 0 else x for t, x in zip(texts, n)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("n_bytes"), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
