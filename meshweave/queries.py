@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .operators import bayes
-from .operators.whatif import for_each_edge_excluded
+from .operators.whatif import components_without_each_edge
 from .sources.tables import ID_STEP, K2_CARDS, order_part, part_next, samples
 
 
@@ -31,14 +31,8 @@ def _sizes(spark, sf):
 
 
 def _what_if(spark, sf):
-    """Components without each of the first three edges of order 0."""
-    g = order_part(spark, sf)
-    ids = [r[0] for r in g.all_edges.where("src = 0").select("edge_id").orderBy("edge_id").limit(3).collect()]
-    out = None
-    for i, found in for_each_edge_excluded(g, "connected_components", ids):
-        one = found.agg(F.lit(i).alias("edge_id"), F.countDistinct("component_id").alias("n_components"))
-        out = one if out is None else out.union(one)
-    return out
+    """Components without each edge in turn."""
+    return components_without_each_edge(order_part(spark, sf))
 
 
 def _members(spark, sf):
