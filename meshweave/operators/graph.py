@@ -6,8 +6,8 @@ Every operator returns a DataFrame in long form, without an order.
 
 Execution: lookups and views are single plans. Iterative operators first count the edges: up to
 ``KERNEL_EDGES`` one task runs an array kernel on the whole graph; beyond that, components and traversals
-run as loops of joins over written tables, and structure operators run a kernel for each component in parallel
-(a component must then fit a task, which is checked against ``COMPONENT_EDGES``).
+run as loops of joins over written tables, and structure operators run a kernel for each component in parallel;
+components of more than ``COMPONENT_EDGES`` edges are solved by joins (``spread``).
 """
 
 from __future__ import annotations
@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.lineage import discard, materialize
-from . import kernels
+from . import kernels, spread
 from .labels import label_components
 
-#: Edges up to which one task takes the whole graph; edges of a component that one task takes.
-KERNEL_EDGES, COMPONENT_EDGES = 2_000_000, 20_000_000
+#: Edges up to which one task takes the whole graph; edges of a component that one task takes (about 350 bytes an edge).
+KERNEL_EDGES, COMPONENT_EDGES = 2_000_000, 2_000_000
 EDGE_COLUMNS = {"edge_id": "long", "src": "long", "dst": "long", "branch_id": "long", "weight": "double"}
 
 
@@ -218,17 +218,20 @@ class Graph:
             rows = rows.union(self.nodes.select(none("long"), "node_id", none("long"), none("double")))
         return rows.coalesce(1).mapInArrow(_once(kernel, schema), schema)
 
-    def _by_component(self, kernel, schema: str) -> DataFrame:
-        """A kernel over each connected component's edges; all edges in one task if the graph is small."""
+    def _by_component(self, kernel, schema: str, apart) -> DataFrame:
+        """A kernel over each connected component's edges; all edges in one task if the graph is small.
+
+        ``apart`` gives the same rows by joins, for components of more than ``COMPONENT_EDGES`` edges.
+        """
         if self._small():
             return self._whole(kernel, schema, nodes=False)
         labels = label_components(self.edges)
         rows = self.edges.join(labels, F.col("src") == F.col("node_id")).select("component_id", "edge_id", "src", "dst", "weight")
-        largest = rows.groupBy("component_id").count().agg(F.max("count")).first()[0]
-        if largest and largest > COMPONENT_EDGES:
-            raise ValueError(f"a component has {largest} edges; a task takes {COMPONENT_EDGES}")
+        rows = materialize(rows, "by-component")
+        large = materialize(rows.groupBy("component_id").count().where(F.col("count") > COMPONENT_EDGES).select("component_id"), "large")
         one = _table(kernel, schema)
-        return rows.groupBy("component_id").applyInArrow(lambda t: one(t.drop_columns(["component_id"])), schema)
+        fit = rows.join(large, "component_id", "left_anti").groupBy("component_id").applyInArrow(lambda t: one(t.drop_columns(["component_id"])), schema)
+        return fit if large.isEmpty() else fit.union(apart(rows.join(large, "component_id", "left_semi")))
 
     # components
 
@@ -272,7 +275,7 @@ class Graph:
         def run(g: Arrays):
             return g.ids, g.ids[kernels.strong_components(g.n, g.src, g.dst)]
 
-        labels = self._by_component(run, "node_id long, scc_id long")
+        labels = self._by_component(run, "node_id long, scc_id long", spread.strong_components)
         return self.nodes.join(labels, "node_id", "left").select("node_id", F.coalesce("scc_id", "node_id").alias("scc_id"))
 
     # structure
@@ -284,7 +287,7 @@ class Graph:
         def run(g: Arrays):
             return (g.edge_id[np.array(kernels.low_links(g.n, g.src, g.dst)[0], np.int64)],)
 
-        return self.edges.join(self._by_component(run, "edge_id long"), "edge_id").select("edge_id", "src", "dst", "branch_id")
+        return self.edges.join(self._by_component(run, "edge_id long", spread.bridges), "edge_id").select("edge_id", "src", "dst", "branch_id")
 
     def bridges_with_branch_ids(self) -> DataFrame:
         if self.all_edges.where("branch_id is not null").isEmpty():
@@ -301,7 +304,7 @@ class Graph:
                 return np.zeros(0, np.int64), np.zeros(0, np.int64)
             return np.repeat([b.min() for b in found], [len(b) for b in found]), np.concatenate(found)
 
-        return self._by_component(run, "block_id long, edge_id long")
+        return self._by_component(run, "block_id long, edge_id long", spread.blocks)
 
     def biconnected_components(self) -> DataFrame:
         """(block_id, node_id)."""
@@ -328,7 +331,7 @@ class Graph:
             nodes = g.ids[np.array([v for _, c in found for v in c], np.int64)]
             return np.repeat(g.edge_id[np.array([s for s, _ in found], np.int64)], n), np.array([k for x in n for k in range(x)], np.int64), nodes
 
-        return self._by_component(run, "cycle_id long, position long, node_id long")
+        return self._by_component(run, "cycle_id long, position long, node_id long", spread.cycle_basis)
 
     def nodes_on_simple_paths(self, source: int, targets) -> DataFrame:
         """(node_id) on some simple path from the source to a target: the blocks on the way in the block-cut tree."""
