@@ -1,9 +1,9 @@
 r"""URL filters: prefix rules as intervals of reversed-host keys, joined to URLs by a sorted sweep.
 
 A rule (host, path, verdict) fits the host, all its subdomains, and every path that starts with its path.
-Each host suffix of a URL makes one probe with the key ``reversed suffix + path`` (``com.example`` then
+Each host suffix of a URL makes one probe with the key ``reversed suffix + # + path`` (``com.example#`` then
 ``/en/x``); a rule's key is made alike, and the keys that start with a rule's key form an interval.
-Such intervals are nested or disjoint. Keys are dealt to range blocks, rules also to every block that
+Such intervals are nested or disjoint, and as no host holds the end mark, only rules of one host nest. Keys are dealt to range blocks, rules also to every block that
 their interval meets; a sweep in key order keeps the stack of the rule that started last and of the
 rules around it, and a probe takes the longest rule of the stack that its key starts with. Blocks are
 cut at (key, salt), so that a key that many probes share fills several blocks.
@@ -33,6 +33,8 @@ DEFAULT = "allow"
 HOST, PATH = r"(?s)^.*?://([^/?#]*)", r"(?s)^.*?://[^/?#]*([^?#]*)"
 #: Blocks for each shuffle partition.
 BLOCKS_PER_PARTITION = 4
+#: Ends the host in a key: sorts before the dot, and hosts of URLs end before it.
+END = "#"
 
 
 def _reversed(host):
@@ -50,8 +52,9 @@ def rule_stacks(rules: DataFrame) -> DataFrame:
     The rules around a rule have its host and a prefix of its path: an equi-join of rules with prefixes.
     """
     r = rules.select(lower_ascii(F.coalesce("host", F.lit(""))).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
+    r = r.where(~F.col("host").rlike("[/?#]"))  # fits no URL
     r = r.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))  # block > allow
-    r = r.withColumn("key", F.concat(F.array_join(_reversed(F.col("host")), "."), "path"))
+    r = r.withColumn("key", F.concat(F.array_join(_reversed(F.col("host")), "."), F.lit(END), "path"))
     prefixes = r.select("key", "host", F.explode(F.sequence(F.lit(0), F.length("path"))).alias("n"), "path")
     prefixes = prefixes.select("key", "host", F.expr("left(path, n)").alias("path"))
     around = r.select("host", "path", F.struct(F.length("key").alias("n"), F.col("key").alias("key"), F.concat("host", "path").alias("rule"), "verdict", F.length("host").alias("h")).alias("one"))
@@ -64,7 +67,7 @@ def best_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     labels = urls.withColumn("labels", _reversed(F.col("host")))
     suffix = F.explode(F.transform(F.sequence(F.lit(1), F.size("labels")), lambda n: F.array_join(F.slice("labels", F.lit(1), n), ".")))
-    probes = labels.select("url", suffix.alias("suffix"), "path").select("url", F.concat("suffix", "path").alias("key"))
+    probes = labels.select("url", suffix.alias("suffix"), "path").select("url", F.concat("suffix", F.lit(END), "path").alias("key"))
     probes = probes.withColumn("salt", F.xxhash64("url"))
     point = F.struct("key", "salt")
     dealt = probes.select("key", "salt").repartitionByRange(parts * BLOCKS_PER_PARTITION, "key", "salt")
