@@ -5,7 +5,8 @@ gives its text, less its links, to its container and half as much to each next o
 containers of a page vote, in thousandths of the page's score, for their paths, in which classes and ids are
 generalised (digits become ``#``). Spark adds the votes by (host, path), combined before the shuffle, and keeps
 the best path of each host. Second pass: each page is extracted by its host's path; where the page lacks
-it, or holds under a third of what the page's own best container holds, by its own.
+it, or holds under a third of what the page's own best container holds, by its own; where the own one holds
+more text outside the host's path than that path holds, both are told in the order of the page.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are known by
 their tag, role, hiding attributes, or by a word of their class or id, wherever they stand.
@@ -206,27 +207,30 @@ def votes(page: str) -> list[tuple[str, int]]:
     return list(out.items())
 
 
-def _within(found, path: str) -> list[str]:
+def _within(found, path: str) -> list[bool]:
+    """Which blocks lie under the path."""
     out = []
-    for node, text, _ in found:
+    for node, _, _ in found:
         at: Node | None = node
         while at and at.path != path:
             at = at.parent
-        if at:
-            out.append(text)
+        out.append(at is not None)
     return out
 
 
 def extract(page: str, path: str | None) -> str:
-    """The text under the host's path, or under the page's own best container."""
+    """The text under the host's path, or under the page's own best container, or under both."""
     found = blocks(page)
     ranked = [(n, s) for n, s in scored(found) if s > 0]
     if not ranked:
         return "\n".join(t for _, t, _ in found)
     own = _within(found, _lifted(ranked[0][0]).path)
-    theirs = _within(found, path) if path is not None else []
-    use = theirs if sum(map(len, theirs)) >= LEAST_PART * sum(map(len, own)) and theirs else own
-    return "\n".join(use)
+    theirs = _within(found, path) if path is not None else [False] * len(found)
+    size = lambda use: sum(len(t) for (_, t, _), u in zip(found, use) if u)
+    use = theirs if any(theirs) and size(theirs) >= LEAST_PART * size(own) else own
+    if use is theirs and size([o and not t for o, t in zip(own, theirs)]) > size(theirs):
+        use = [o or t for o, t in zip(own, theirs)]
+    return "\n".join(t for (_, t, _), u in zip(found, use) if u)
 
 
 def host_paths(rows: DataFrame) -> DataFrame:
