@@ -14,8 +14,11 @@ them, and checks each frame. Documents are dealt to shards by a range sort; the
 shard. A shard appears only when it is whole, under a name of the attempt that wrote it, so that a task may
 run again. Reading is dealt out in ranges of documents.
 
+The order is that of the id, of a hash of the text and of the text: the sort samples numbers only, and an id that
+many rows have (or null) is cut by the hash into several shards, equal rows by their place in the input.
+
 Defined results: null text is the empty text (only the end id); rows with equal ids are separate
-documents, ordered by text; null ids come first; an empty table gives no rows; other columns are ignored.
+documents, ordered by the hash, then the text; null ids come first; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +33,8 @@ from pyspark.sql import functions as F
 from ..plans.lineage import new_path
 from .storage import Output, make_dir, open_input, size_of
 from .text import table
-from .tokens import default_path, encoder, slices
+from .tokens import default_path, encoder
+from .units import portions
 
 #: Ids in a frame before it is closed.
 FRAME_IDS = 1 << 17
@@ -105,9 +109,8 @@ class ShardReader:
         self.width, n_docs, index = struct.unpack("<QQQ", self._at(seek - 24, 24))
         self.kind = np.dtype(f"<u{self.width}")
         raw = self.zstd.decompress(self._at(seek - index + 8, index - 32), max_output_size=17 * n_docs + 1)
-        known = np.frombuffer(raw[:n_docs], bool)
-        ids = np.frombuffer(raw[n_docs : 9 * n_docs], "<i8")
-        self.docs = [int(x) if k else None for x, k in zip(ids, known)]
+        self.known = np.frombuffer(raw[:n_docs], bool)
+        self.ids_ = np.frombuffer(raw[n_docs : 9 * n_docs], "<i8")
         self.counts = np.frombuffer(raw[9 * n_docs :], "<i8")
         self.starts = np.concatenate([[0], np.cumsum(self.counts)])
         self.packed, self.sums = table_[:, 0], table_[:, 2]
@@ -129,16 +132,28 @@ class ShardReader:
             self.last = (k, np.frombuffer(raw, self.kind))
         return self.last[1]
 
-    def ids(self, place: int) -> np.ndarray:
-        """The ids of the document at this place; only its frames are decompressed."""
-        lo, hi, parts = int(self.starts[place]), int(self.starts[place + 1]), []
+    def span(self, lo: int, hi: int) -> np.ndarray:
+        """The ids from place lo to hi of the shard; only the frames that hold them are decompressed."""
+        parts = [np.zeros(0, self.kind)]
         k = int(np.searchsorted(self.ends, lo, side="right"))
         while lo < hi:
             begin = int(self.ends[k - 1]) if k else 0
             stop = min(hi, int(self.ends[k]))
             parts.append(self._frame(k)[lo - begin : stop - begin])
             lo, k = stop, k + 1
-        return np.concatenate(parts) if parts else np.zeros(0, self.kind)
+        return np.concatenate(parts)
+
+    def ids(self, place: int) -> np.ndarray:
+        """The ids of the document at this place."""
+        return self.span(int(self.starts[place]), int(self.starts[place + 1]))
+
+    def runs(self, lo: int, hi: int):
+        """The documents from lo to hi in runs of about as many ids as a frame has."""
+        while lo < hi:
+            stop = int(np.searchsorted(self.starts, self.starts[lo] + FRAME_IDS, side="right")) - 1
+            stop = min(hi, max(lo + 1, stop))
+            yield lo, stop
+            lo = stop
 
 
 def write_shards(df: DataFrame, folder: str, tokenizer: str, end_id: int) -> list:
@@ -150,18 +165,24 @@ def write_shards(df: DataFrame, folder: str, tokenizer: str, end_id: int) -> lis
 
         enc, writer, place = encoder(tokenizer), None, TaskContext.get().partitionId()
         for batch in batches:
-            for part in slices(batch, 512):
-                ids = part.column("id").to_pylist()
-                for doc_id, got in zip(ids, enc.encode(part.column("text").to_pylist())):
-                    if writer is None:
-                        writer = ShardWriter(Output(folder, f"shard-{place:06d}", ".ids.zst"), enc.width if end_id < 1 << 16 else 4)
-                    writer.add(doc_id, np.append(got, np.uint32(end_id)))
+            for part in portions(batch, "text"):
+                if writer is None:
+                    writer = ShardWriter(Output(folder, f"shard-{place:06d}", ".ids.zst"), enc.width if end_id < 1 << 16 else 4)
+                flat, counts = enc.encode_flat(part.column("text"))
+                ends = np.cumsum(counts)
+                flat = np.insert(flat.astype(writer.kind), ends, end_id)
+                ends += np.arange(1, len(ends) + 1)
+                lo = 0
+                for doc_id, hi in zip(part.column("id").to_pylist(), ends.tolist()):
+                    writer.add(doc_id, flat[lo:hi])
+                    lo = hi
         if writer is not None:
             writer.finish()
             yield pa.RecordBatch.from_pydict({"place": [place], "uri": [writer.out.uri], "docs": [len(writer.docs)], "ids": [writer.n_ids]})
 
     make_dir(folder)
-    dealt = df.repartitionByRange("id", "text").sortWithinPartitions("id", "text")
+    keys = df.select("id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row"))
+    dealt = keys.repartitionByRange("id", "h", "row").sortWithinPartitions("id", "h", "text").select("id", "text")
     return sorted(dealt.mapInArrow(write, "place long, uri string, docs long, ids long").collect(), key=lambda r: r["place"])
 
 
@@ -180,12 +201,12 @@ def read_shards(spark: SparkSession, shards: list) -> DataFrame:
         for batch in batches:
             for uri, lo, hi, base in zip(*(batch.column(c).to_pylist() for c in ("uri", "lo", "hi", "base"))):
                 shard = ShardReader(uri)
-                for a in range(lo, hi, 256):
-                    b = min(hi, a + 256)
-                    ids = [shard.ids(k).astype("<u4").tobytes() for k in range(a, b)]
-                    yield pa.RecordBatch.from_pydict(
-                        {"id": pa.array(shard.docs[a:b], pa.int64()), "start": pa.array(base + shard.starts[a:b]), "n_tokens": pa.array(shard.counts[a:b]), "ids": pa.array(ids, pa.binary())}
-                    )
+                for a, b in shard.runs(lo, hi):
+                    raw = np.ascontiguousarray(shard.span(int(shard.starts[a]), int(shard.starts[b])).astype("<u4"))
+                    cuts = (4 * (shard.starts[a : b + 1] - shard.starts[a])).astype("<i8")
+                    ids = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(cuts), pa.py_buffer(raw)]).cast(pa.binary())
+                    docs = pa.array(shard.ids_[a:b], mask=~shard.known[a:b])
+                    yield pa.RecordBatch.from_arrays([docs, pa.array(base + shard.starts[a:b]), pa.array(shard.counts[a:b]), ids], ["id", "start", "n_tokens", "ids"])
 
     ranges = spark.createDataFrame(plan, "uri string, lo long, hi long, base long")
     return ranges.repartition(max(1, len(plan))).mapInArrow(read, "id long, start long, n_tokens long, ids binary")
