@@ -22,7 +22,6 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .text import table
-from .tokens import CACHE_CHARS, default_path, slices
+from .tokens import CACHE_CHARS, default_path
+from .units import Store, as_array, at_spaces, owners, portions
 
 MARK = "▁"
 # Fixed values of the model format: field numbers and piece types.
@@ -39,7 +39,9 @@ PIECE, SCORE, TYPE = 1, 2, 3
 CHARS_MAP, DUMMY_PREFIX, EXTRA_SPACES, ESCAPE = 2, 3, 4, 5
 USER_DEFINED, BYTE = 4, 6
 MARK_AS_SUFFIX = 24
-#: Units that a worker keeps, at about 400 bytes each.
+#: Bytes of text whose arrays are held at once.
+PORTION = 1 << 20
+#: Units that a worker keeps, at about 200 bytes each.
 CACHE_UNITS = 250_000
 _UNITS = re.compile(r" +[^ ]*")
 
@@ -107,6 +109,7 @@ class CharMap:
 
 class PieceCodec:
     def __init__(self, path: str):
+        import pyarrow as pa
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -125,26 +128,99 @@ class PieceCodec:
         inner = re.compile(f"[^{MARK}]{MARK}")
         self.apart = not self.map and self.prefix and self.escape and not self.squeeze and not any(inner.search(p[PIECE].decode()) for p in pieces if p.get(TYPE, 1) == 1)
         self.unknown = self.sp.unk_id() if not any(p.get(TYPE) == BYTE for p in pieces) else -1
-        self.cache: dict[str, tuple[tuple[int, ...], str]] = {}
-
-    def encode(self, texts: list[str]) -> list[tuple[list[int], str]]:
+        self.store = Store(CACHE_UNITS)
+        self.marks = pa.array([str(k) for k in range(len(pieces))], pa.string())
+
+    def _lists(self, texts: list[str]) -> np.ndarray:
+        return self.store.add_lists(self.sp.encode(texts, num_threads=1) if texts else [])
+
+    def _places(self, units: list[str]) -> np.ndarray:
+        """The places of the ids of different units, told without their first space; new ones are kept if they are short."""
+        places = self.store.find(units)
+        new = np.flatnonzero(places == 0)
+        fresh = [units[k] for k in new]
+        places[new] = got = self._lists(fresh)
+        self.store.known.update((u, p) for u, p in zip(fresh, got.tolist()) if len(u) <= CACHE_CHARS)
+        return places
+
+    def _uneven(self, texts: list[str]) -> np.ndarray:
+        """The places of the ids of whole texts with runs of spaces, or which hold the mark or end with a space."""
+        cut = [_UNITS.findall(" " + t) if t and t[-1] != " " and MARK not in t else None for t in texts]
+        units = list(dict.fromkeys(u[1:] for c in cut if c for u in c))
+        at = dict(zip(units, self._places(units).tolist()))
+        whole = iter(self._lists([t for t, c in zip(texts, cut) if c is None]).tolist())
+        rows = [self.store.gather(np.array([next(whole)] if c is None else [at[u[1:]] for u in c])) for c in cut]
+        return self.store.add_lists(rows)
+
+    def encode_flat(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts in a row, how many each text has) of an Arrow array or list of texts."""
+        self.store.trim()
+        texts = as_array(texts)
+        if not self.apart:
+            places, offsets = self._lists(texts.to_pylist()), np.arange(len(texts) + 1)
+        else:
+            units, which, offsets = at_spaces(texts)
+            # an empty part stands beside another space, or for an empty text
+            odd = np.array([not u or MARK in u for u in units], bool)
+            places = np.zeros(len(units), np.int64)
+            places[~odd] = self._places([u for u, o in zip(units, odd) if not o])
+            places = places[which]
+            if odd.any():
+                bad = owners(offsets, np.flatnonzero(odd[which]))
+                rows = self._uneven(texts.take(bad).to_pylist())
+                for k, p in zip(bad.tolist(), rows.tolist()):
+                    places[offsets[k] : offsets[k + 1]] = 0
+                    places[offsets[k]] = p
+        return self.store.gather(places), self.store.counts(places, offsets)
+
+    def encode(self, texts) -> list[tuple[list[int], str]]:
         """(ids, ids in decimal joined by commas) of each text."""
-        if len(self.cache) > CACHE_UNITS:
-            self.cache.clear()
-        cut = [_UNITS.findall(" " + t) if self.apart and t and t[-1] != " " and MARK not in t else None for t in texts]
-        whole = [k for k, u in enumerate(cut) if u is None]
-        new = [u for u in dict.fromkeys(chain.from_iterable(u for u in cut if u)) if u not in self.cache]
-        once = {}
-        for u, ids in zip(new, self.sp.encode([u[1:] for u in new], num_threads=1) if new else ()):
-            (self.cache if len(u) <= CACHE_CHARS else once)[u] = (tuple(ids), ",".join(map(str, ids)))
-        out: list = [None] * len(texts)
-        for k, ids in zip(whole, self.sp.encode([texts[k] for k in whole], num_threads=1) if whole else ()):
-            out[k] = (ids, ",".join(map(str, ids)))
-        for k, u in enumerate(cut):
-            if u is not None:
-                got = [self.cache[x] if x in self.cache else once[x] for x in u]
-                out[k] = (list(chain.from_iterable(x[0] for x in got)), ",".join([x[1] for x in got]))
-        return out
+        flat, counts = self.encode_flat(texts)
+        each = np.split(flat, np.cumsum(counts)[:-1]) if len(counts) else []
+        return [(ids.tolist(), s) for ids, s in zip(each, self.joined(flat, counts).to_pylist())]
+
+    def joined(self, flat: np.ndarray, counts: np.ndarray):
+        """The ids of each text in decimal, joined by commas, as an Arrow array."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not len(counts):
+            return pa.array([], pa.string())
+        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        return pc.binary_join(pa.ListArray.from_arrays(offsets, self.marks.take(pa.array(flat))), ",")
+
+    def spans_flat(self, texts, flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and end byte in its text of each piece, for all texts in a row.
+
+        Without a character map only spaces change: each is a mark of three bytes, and one more stands before a
+        text that is not empty. So one running sum over all pieces places them in all normalised texts at once.
+        """
+        texts = as_array(texts)
+        if self.map or self.squeeze or not (self.prefix and self.escape) or self.unknown >= 0:
+            each = [self.spans(t, ids) for t, ids in zip(texts.to_pylist(), np.split(flat, np.cumsum(counts)[:-1]))] if len(counts) else []
+            none = np.zeros(0, np.int64)
+            return np.concatenate([none, *(b for b, _ in each)]), np.concatenate([none, *(e for _, e in each)])
+        offsets = np.frombuffer(texts.buffers()[1], np.int32 if texts.type == "string" else np.int64)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        begin, n = offsets[:-1] - offsets[0], np.diff(offsets)
+        # source byte of each normalised byte, and one more place for the end of each text
+        width = np.where(raw == 32, 3, 1)
+        at = np.repeat(np.arange(len(raw)), width)
+        long = np.concatenate([[0], np.cumsum(width)])
+        size = long[begin + n] - long[begin] + 3 * (n > 0)
+        ends = np.cumsum(self.lengths[flat])
+        total = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])])
+        if (total != size).any():
+            k = int(np.flatnonzero(total != size)[0])
+            raise ValueError(f"pieces of {total[k]} bytes do not make up the normalised text of {size[k]}")
+        own = np.repeat(np.arange(len(n)), counts)
+        before = np.cumsum(size) - size  # of the texts before, as pieces count them
+        inner = ends - before[own] - 3  # place after each piece within its text, without the mark in front
+        end = np.where(inner >= size[own] - 3, n[own], at[np.clip(long[begin[own]] + inner, 0, max(len(at) - 1, 0))] - begin[own] if len(at) else 0)
+        end = np.maximum(end, 0) * (inner > 0)
+        first = np.concatenate([[True], own[1:] != own[:-1]]) if len(own) else np.zeros(0, bool)
+        start = np.where(first, 0, np.concatenate([[0], end[:-1]])) if len(own) else end
+        return start, end
 
     def normalize(self, text: str) -> tuple[bytes, np.ndarray]:
         """The normalised text, and for each of its bytes, and its end, the source byte that it comes from."""
@@ -222,31 +298,40 @@ _DIGEST = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("
 
 def _encoded(model: str, digest: bool):
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
     def run(batches):
         c = codec(model)
         for batch in batches:
-            for part in slices(batch):
-                texts = part.column("__mw_text").to_pylist()
-                got = c.encode(texts)
-                decoded = [c.sp.decode(x[0]) for x in got]
-                spans = [c.spans(t, x[0]) for t, x in zip(texts, got)]
+            for part in portions(batch, "__mw_text", PORTION):
+                texts = part.column("__mw_text")
+                flat, counts = c.encode_flat(texts)
+                cuts = np.concatenate([[0], np.cumsum(counts)])
+                decoded = [c.sp.decode(flat[a:b].tolist()) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+                begins, ends = c.spans_flat(texts, flat, counts)
                 if digest:
+                    joined = c.joined(flat, counts)
+                    at, held = np.frombuffer(joined.buffers()[1], np.int32), memoryview(joined.buffers()[2] or b"")
+                    covered = np.diff(np.concatenate([[0], np.cumsum(ends - begins)])[cuts])
                     new = [
-                        pa.array([len(x[0]) for x in got], pa.int64()),
-                        pa.array([sha(x[1]) for x in got]),
-                        pa.array([sha(d) for d in decoded]),
-                        pa.array([int(len(t.encode())) for t in texts], pa.int64()),
-                        pa.array([int((e - b).sum()) for b, e in spans], pa.int64()),
+                        pa.array(counts),
+                        pa.array([hashlib.sha256(held[a:b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1 : part.num_rows + 1].tolist())], pa.string()),
+                        pa.array([sha(d) for d in decoded], pa.string()),
+                        pc.binary_length(texts).cast(pa.int64()),
+                        pa.array(covered),
                     ]
                     names = _DIGEST.names
                 else:
-                    new = [pa.array([x[0] for x in got], pa.list_(pa.int32())), pa.array([b for b, _ in spans], pa.list_(pa.int64())), pa.array([e for _, e in spans], pa.list_(pa.int64())), pa.array(decoded)]
+                    lists = lambda x: pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(x))
+                    new = [lists(flat.astype(np.int32)), lists(begins), lists(ends), pa.array(decoded, pa.string())]
                     names = _FULL.names
                 keep = [k for k in range(part.num_columns) if part.schema.names[k] != "__mw_text"]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *new], [*(part.schema.names[k] for k in keep), *names])
+        # workers outlive tasks, and later stages need the memory
+        c.store.reset()
+        pa.default_memory_pool().release_unused()
 
     return run
 
