@@ -8,6 +8,8 @@ that both have, it goes on exactly as the whole text does. Tokens never cross pr
 added up between common boundaries. Where the overlap has none (a huge run without a break), the left
 chunk is widened, doubling, up to the end of the text.
 
+Tokenizers of other builds (see ``tokens.is_plain``) encode whole texts.
+
 Only one chunk's encoding is held at a time. A map without a shuffle; a task that is lost is run again.
 
 Defined results: null text is the empty text (0 bytes, 0 tokens); repeated rows each get a row; an empty
@@ -16,11 +18,15 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import json
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .text import table
-from .tokens import default_path, encoder, load_tokenizer, slices
+from .tokens import default_path, encoder, is_plain, load_tokenizer
+from .units import portions
 
 #: Characters from which a document is encoded in chunks; a chunk; the overlap of two chunks.
 HUGE, CHUNK, OVERLAP = 1 << 15, 1 << 14, 1 << 10
@@ -29,12 +35,13 @@ LIMIT = 512
 
 class SplicedCounter:
     def __init__(self, path: str, huge: int = HUGE, chunk: int = CHUNK, overlap: int = OVERLAP):
-        import json
-
         self.tok = load_tokenizer(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        added = json.loads(self.tok.to_str())["added_tokens"]
+        spec = json.loads(self.tok.to_str())
+        added = spec["added_tokens"]
+        #: Splices are proven for plain byte-level tokenizers only; others encode whole texts.
+        self.plain = is_plain(spec)
         #: Longest added token, and what the pattern looks ahead (a contraction's two letters, or one character).
         self.reach = max([len(t["content"]) for t in added], default=0) + 4
         self.huge, self.chunk, self.overlap, self.widened = huge, chunk, max(overlap, 2 * self.reach), 0
@@ -49,7 +56,7 @@ class SplicedCounter:
         return len(words), at
 
     def count(self, text: str) -> int:
-        if len(text) <= self.huge:
+        if len(text) <= self.huge or not self.plain:
             return len(self.tok.encode_batch_fast([text], add_special_tokens=False)[0])
         total, end = 0, min(len(text), self.chunk)
         n, at = self._encode(text, 0, end)
@@ -79,20 +86,19 @@ _COUNTERS: dict[str, SplicedCounter] = {}
 def count_tokens(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """Bytes, tokens and whether the tokens exceed ``limit``, for each row."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     def run(batches):
         if tokenizer not in _COUNTERS:
             _COUNTERS[tokenizer] = SplicedCounter(tokenizer)
         counter, units = _COUNTERS[tokenizer], encoder(tokenizer)
         for batch in batches:
-            for part in slices(batch, 256):
-                texts = part.column("text").to_pylist()
-                short = [k for k, t in enumerate(texts) if len(t) <= counter.huge]
-                n = [-1] * len(texts)
-                for k, ids in zip(short, units.encode([texts[k] for k in short])):
-                    n[k] = len(ids)
-                n = [counter.count(t) if x < 0 else x for t, x in zip(texts, n)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("n_bytes"), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
+            for part in portions(batch, "text"):
+                size = pc.utf8_length(part.column("text")).to_numpy(zero_copy_only=False)
+                n, short = np.zeros(part.num_rows, np.int64), size <= counter.huge
+                n[short] = units.count(part.column("text").filter(pa.array(short)))
+                n[~short] = [counter.count(t) for t in part.column("text").filter(pa.array(~short)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("n_bytes"), pa.array(n)], ["id", "n_bytes", "n_tokens"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))

@@ -7,7 +7,7 @@ one gather. Python objects are made for different units only, not for each word.
 
 from __future__ import annotations
 
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -48,8 +48,8 @@ class Store:
         return places
 
     def add_lists(self, rows: list) -> np.ndarray:
-        flat = np.concatenate([np.zeros(0, np.uint32), *(np.asarray(r, np.uint32) for r in rows)])
-        return self.add(flat, np.fromiter(map(len, rows), np.int64, len(rows)))
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        return self.add(np.fromiter(chain.from_iterable(rows), np.uint32, int(sizes.sum())), sizes)
 
     def find(self, keys: list[str]) -> np.ndarray:
         """The places of the keys; 0 for what is not known."""
