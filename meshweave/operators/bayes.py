@@ -8,6 +8,7 @@ pass with grouping sets.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import deque
 
 from pyspark.sql import DataFrame
@@ -47,7 +48,7 @@ def local_scores(data: DataFrame, cards: dict[str, int], wanted: list[tuple[str,
         return {}
     families = list(dict.fromkeys(tuple(sorted({c, *ps})) for c, ps in wanted))
     columns = sorted({c for f in families for c in f})
-    view = "__meshweave_samples"
+    view = f"__meshweave_{uuid.uuid4().hex}"
     data.select(*columns).createOrReplaceTempView(view)
     sets = ", ".join("(" + ", ".join(f"`{c}`" for c in f) + ")" for f in families)
     names = ", ".join(f"`{c}`" for c in columns)
@@ -57,6 +58,7 @@ def local_scores(data: DataFrame, cards: dict[str, int], wanted: list[tuple[str,
     for row in counted.toLocalIterator():
         held[groups[int(row["g"])]].append(row)
     out = {}
+    data.sparkSession.catalog.dropTempView(view)
     for child, parents in wanted:
         table: dict[tuple, dict[int, int]] = {}
         for row in held[tuple(sorted({child, *parents}))]:

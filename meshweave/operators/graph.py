@@ -26,14 +26,17 @@ EDGE_COLUMNS = {"edge_id": "long", "src": "long", "dst": "long", "branch_id": "l
 
 
 class Graph:
-    def __init__(self, nodes: DataFrame, edges: DataFrame, directed: bool = False, *, masked: DataFrame | None = None, strict: bool = False):
-        """``strict`` checks in one job that all endpoints are known nodes (``ValueError`` if not)."""
+    def __init__(self, nodes: DataFrame, edges: DataFrame, directed: bool = False, *, masked: DataFrame | None = None, strict: bool = False, unique: bool = False):
+        """``strict`` checks in one job that all endpoints are known nodes (``ValueError`` if not); ``unique``: no node is told twice."""
         self.spark: SparkSession = nodes.sparkSession
         self.directed = directed
-        self.nodes = nodes.select(F.col("node_id").cast("long")).distinct()
+        self.nodes = nodes.select(F.col("node_id").cast("long"))
+        if not unique:
+            self.nodes = self.nodes.distinct()
         have = set(edges.columns)
         self.all_edges = edges.select(*[(F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in EDGE_COLUMNS.items()])
         self.masked = masked
+        self._written: DataFrame | None = None
         if strict:
             ends = self.all_edges.select(F.col("src").alias("node_id")).union(self.all_edges.select("dst"))
             if not ends.join(self.nodes, "node_id", "left_anti").isEmpty():
@@ -75,12 +78,21 @@ class Graph:
             return ids.select(F.col(ids.columns[0]).cast("long").alias(name)).distinct()
         return self.spark.createDataFrame([(int(i),) for i in dict.fromkeys(ids)], f"{name} long")
 
-    def _with(self, nodes=None, edges=None, masked=None) -> Graph:
-        return Graph(nodes if nodes is not None else self.nodes, edges if edges is not None else self.all_edges, self.directed, masked=masked if masked is not None else self.masked)
+    def _with(self, nodes=None, edges=None, masked=None, unique: bool = True) -> Graph:
+        return Graph(nodes if nodes is not None else self.nodes, edges if edges is not None else self.all_edges, self.directed, masked=masked if masked is not None else self.masked, unique=unique)
+
+    def _rows(self) -> DataFrame:
+        """The edges, written at the first call, so that counting them and the operator after it read the same table."""
+        if self._written is None:
+            self._written = materialize(self.edges, "edges")
+        return self._written
 
     def persist(self) -> Graph:
         """Parse once: write both tables, so that several operators share them."""
-        return Graph(materialize(self.nodes, "nodes"), materialize(self.all_edges, "edges"), self.directed, masked=self.masked)
+        kept = Graph(materialize(self.nodes, "nodes"), materialize(self.all_edges, "edges"), self.directed, masked=self.masked, unique=True)
+        if self.masked is None:
+            kept._written = kept.all_edges
+        return kept
 
     # sizes and guards
 
@@ -153,6 +165,10 @@ class Graph:
         against = (F.col("src") == v) & (F.col("dst") == u)
         return self.edges.where(along if self.directed else along | against).select("edge_id")
 
+    def edge_indices_between(self, pairs: DataFrame) -> DataFrame:
+        """(u, v, edge_id) for each edge between the nodes of each different pair (u, v)."""
+        return pairs.select("u", "v").distinct().join(self._ahead().select(F.col("src").alias("u"), F.col("dst").alias("v"), "edge_id"), ["u", "v"])
+
     # views
 
     def without_edges(self, edge_ids) -> Graph:
@@ -185,7 +201,7 @@ class Graph:
         ends = new.select(F.col("src").alias("node_id")).union(new.select("dst"))
         if self.masked is not None:
             ends = ends.join(self.masked, "node_id", "left_anti")
-        return self._with(nodes=self.nodes.union(ends), edges=self.all_edges.unionByName(new))
+        return self._with(nodes=self.nodes.union(ends), edges=self.all_edges.unionByName(new), unique=False)
 
     def split_node(self, node: int, new_node: int, edge_ids) -> Graph:
         """The listed edges leave ``node`` for ``new_node``; a self-loop moves its first end."""
@@ -208,15 +224,15 @@ class Graph:
     # running kernels
 
     def _small(self) -> bool:
-        return self.edges.count() <= KERNEL_EDGES
+        return self._rows().count() <= KERNEL_EDGES
 
     def _whole(self, kernel, schema: str, nodes: bool = True) -> DataFrame:
         """One task over the graph; only for graphs whose size was checked."""
-        rows = self.edges.select("edge_id", "src", "dst", "weight")
+        rows = self._rows().select("edge_id", "src", "dst", "weight")
         if nodes:
             none = lambda t: F.lit(None).cast(t)
             rows = rows.union(self.nodes.select(none("long"), "node_id", none("long"), none("double")))
-        return rows.coalesce(1).mapInArrow(_once(kernel, schema), schema)
+        return rows.repartition(1).mapInArrow(_once(kernel, schema), schema)
 
     def _by_component(self, kernel, schema: str, apart) -> DataFrame:
         """A kernel over each connected component's edges; all edges in one task if the graph is small.
@@ -225,8 +241,8 @@ class Graph:
         """
         if self._small():
             return self._whole(kernel, schema, nodes=False)
-        labels = label_components(self.edges)
-        rows = self.edges.join(labels, F.col("src") == F.col("node_id")).select("component_id", "edge_id", "src", "dst", "weight")
+        labels = label_components(self._rows())
+        rows = self._rows().join(labels, F.col("src") == F.col("node_id")).select("component_id", "edge_id", "src", "dst", "weight")
         rows = materialize(rows, "by-component")
         large = materialize(rows.groupBy("component_id").count().where(F.col("count") > COMPONENT_EDGES).select("component_id"), "large")
         one = _table(kernel, schema)
@@ -252,7 +268,7 @@ class Graph:
 
             labels = self._whole(run, "node_id long, component_id long", nodes=False)
         else:
-            labels = label_components(self.edges)
+            labels = label_components(self._rows())
         return self.nodes.join(labels, "node_id", "left").select("node_id", F.coalesce("component_id", "node_id").alias("component_id"))
 
     def connected_components_with_branch_ids(self) -> DataFrame:
@@ -287,7 +303,7 @@ class Graph:
         def run(g: Arrays):
             return (g.edge_id[np.array(kernels.low_links(g.n, g.src, g.dst)[0], np.int64)],)
 
-        return self.edges.join(self._by_component(run, "edge_id long", spread.bridges), "edge_id").select("edge_id", "src", "dst", "branch_id")
+        return self._rows().join(self._by_component(run, "edge_id long", spread.bridges), "edge_id").select("edge_id", "src", "dst", "branch_id")
 
     def bridges_with_branch_ids(self) -> DataFrame:
         if self.all_edges.where("branch_id is not null").isEmpty():
@@ -308,7 +324,7 @@ class Graph:
 
     def biconnected_components(self) -> DataFrame:
         """(block_id, node_id)."""
-        at = self.blocks().join(self.edges, "edge_id")
+        at = self.blocks().join(self._rows(), "edge_id")
         return at.select("block_id", F.explode(F.array("src", "dst")).alias("node_id")).distinct()
 
     def articulation_points(self) -> DataFrame:
@@ -340,19 +356,27 @@ class Graph:
         wanted = materialize(wanted, "targets")
         members = materialize(self.biconnected_components(), "members")
         itself = wanted.where(F.col("node_id") == source)
-        # the tree: nodes keep their id times two, blocks their id times two plus one; it is a forest, so walks are simple
-        tree = members.select(F.monotonically_increasing_id().alias("edge_id"), (F.col("node_id") * 2).alias("src"), (F.col("block_id") * 2 + 1).alias("dst"))
-        ends = tree.select(F.col("src").alias("node_id")).union(tree.select("dst")).distinct()
         if members.where(F.col("node_id") == source).isEmpty():
             return itself
-        walk = materialize(Graph(ends, materialize(tree, "tree")).bfs(source * 2), "walk")
-        on = walk.join(wanted.where(F.col("node_id") != source).select((F.col("node_id") * 2).alias("node_id")), "node_id", "left_semi").select("node_id", "parent")
-        used = front = materialize(on, "on")
+        if members.count() <= KERNEL_EDGES:
+            rows = members.union(wanted.select(F.lit(None).cast("long"), "node_id")).repartition(1)
+            return rows.mapInArrow(_between(source), "node_id long").union(itself).distinct()
+        # larger: a breadth-first walk of the tree of nodes and blocks, which get numbers of their own; it is a forest, so ties do not matter
+        names = members.select(F.lit(0).alias("kind"), F.col("node_id").alias("name")).union(members.select(F.lit(1), "block_id")).distinct()
+        names = materialize(names.withColumn("at", F.monotonically_increasing_id()), "names")
+        of = lambda kind, name: names.where(F.col("kind") == kind).select(F.col("name").alias(name), F.col("at").alias(f"{name}_at"))
+        at = materialize(members.join(of(0, "node_id"), "node_id").join(of(1, "block_id"), "block_id"), "tree")
+        root = at.where(F.col("node_id") == source).first()["node_id_at"]
+        tree = at.select(F.col("node_id_at").alias("edge_id"), F.col("node_id_at").alias("src"), F.col("block_id_at").alias("dst"))
+        walk = materialize(Graph(names.select(F.col("at").alias("node_id")), tree, unique=True).bfs(root), "walk")
+        ends = at.join(wanted.where(F.col("node_id") != source), "node_id", "left_semi").select(F.col("node_id_at").alias("node_id")).distinct()
+        used = front = materialize(walk.join(ends, "node_id").select("node_id", "parent"), "on")
         while not front.isEmpty():
-            front = materialize(walk.join(front.select(F.col("parent").alias("node_id")).distinct(), "node_id", "left_semi").select("node_id", "parent"), "front")
+            above = walk.join(front.select(F.col("parent").alias("node_id")).distinct(), "node_id", "left_semi").select("node_id", "parent")
+            front = materialize(above.join(used.select("node_id"), "node_id", "left_anti"), "front")
             used = used.union(front)
-        hit = used.where(F.pmod("node_id", F.lit(2)) == 1).select(((F.col("node_id") - 1) / 2).cast("long").alias("block_id")).distinct()
-        return members.join(hit, "block_id", "left_semi").select("node_id").union(itself).distinct()
+        hit = used.select(F.col("node_id").alias("block_id_at")).distinct()
+        return at.join(hit, "block_id_at", "left_semi").select("node_id").union(itself).distinct()
 
     # traversal
 
@@ -450,7 +474,20 @@ class Graph:
             return self.spark.createDataFrame([], schema)
         if source == target:
             return self.spark.createDataFrame([(0, source, 0.0)], schema)
-        found = materialize(self._paths(weights, [source], None), "paths")
+        g = self._weighted(weights)
+        if g._small():
+            directed = self.directed
+
+            def run(a: Arrays):
+                best, at, path = kernels.distances(a.n, a.src, a.dst, a.weight, directed, [a.place(source)], None), a.place(target), []
+                while at >= 0 and best[at][0] != np.inf:
+                    path.append(at)
+                    at = best[at][2]
+                path.reverse()
+                return np.arange(len(path)), a.ids[np.array(path, np.int64)], [best[v][0] for v in path]
+
+            return g._whole(run, schema)
+        found = materialize(g._paths(None, [source], None), "paths")
         path, at = [], target
         while at is not None:
             row = found.where(F.col("node_id") == at).select("distance", "pred").first()
@@ -497,7 +534,7 @@ class Graph:
             out = materialize(self._whole(run, "node_id long, level long"), "levels")
             stuck = out.where("level < 0").count()
         else:
-            left, out, k, stuck = materialize(self.edges.select("src", "dst"), "left"), None, 0, 0
+            left, out, k, stuck = materialize(self._rows().select("src", "dst"), "left"), None, 0, 0
             nodes = materialize(self.nodes, "nodes")
             while True:
                 free = materialize(nodes.join(left.select(F.col("dst").alias("node_id")).distinct(), "node_id", "left_anti"), "free")
@@ -524,16 +561,21 @@ class Graph:
         g = self._with(edges=self.all_edges.withColumn("weight", F.lit(1.0))) if unit else self._with(edges=self.all_edges.withColumn("weight", F.coalesce("weight", F.lit(1.0))))
         if weights is not None:
             g = self._with(edges=self.all_edges.drop("weight").join(weights.select("edge_id", F.col("weight").cast("double")), "edge_id"))
-        levels = g._levels("dag_longest_path")
         schema = "position long, node_id long, length double"
         if g._small():
 
             def run(a: Arrays):
                 level = kernels.levels(a.n, a.src, a.dst)
+                if (level < 0).any():
+                    return [-1], [None], [None]
                 length, path = kernels.longest(a.n, a.src, a.dst, a.weight, level)
                 return np.arange(len(path)), a.ids[path] if path else np.zeros(0, np.int64), np.full(len(path), length)
 
-            return g._whole(run, schema)
+            out = materialize(g._whole(run, schema), "longest")
+            if not out.where("position < 0").isEmpty():
+                raise ValueError("Graph contains a cycle - dag_longest_path is undefined")
+            return out
+        levels = g._levels("dag_longest_path")
         top = levels.agg(F.max("level")).first()[0] or 0
         e = materialize(g.edges.join(levels.select(F.col("node_id").alias("src"), "level"), "src").select("src", "dst", "weight", "level"), "leveled")
         best = materialize(levels.select("node_id", F.lit(0.0).alias("d"), F.lit(None).cast("long").alias("pred")), "best")
@@ -582,6 +624,24 @@ def _table(kernel, schema: str):
     return run
 
 
+def _between(source: int):
+    """Of rows (block_id, node_id), with null blocks for targets, the nodes of the blocks on the way from the source to a target."""
+    import pyarrow as pa
+
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        told = table.column("block_id").is_valid().to_numpy(zero_copy_only=False) if table.num_rows else np.zeros(0, bool)
+        ids, nodes = np.unique(table.column("node_id").to_numpy(), return_inverse=True)
+        blocks, at = np.unique(table.column("block_id").drop_null().to_numpy(), return_inverse=True)
+        on = kernels.blocks_between(len(ids), len(blocks), nodes[told], at, int(np.searchsorted(ids, source)), nodes[~told])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[np.unique(nodes[told][on[at]])])], ["node_id"])
+
+    return run
+
+
 def _once(kernel, schema: str):
     import pyarrow as pa
 
