@@ -33,6 +33,8 @@ PIECE = r"[^.!?|]{1,160}[.!?|]{0,16}[ \t]{0,16}|[.!?|]{1,160}"
 SECTION_ENDS = ("0", "1")
 #: Blocks of neighbouring ids for each shuffle partition.
 BLOCKS_PER_PARTITION = 4
+#: Code points of a text that help to order rows with equal ids.
+HEAD = 16
 
 
 def with_tree(df: DataFrame, text: str, prefix: str) -> DataFrame:
@@ -88,24 +90,26 @@ def fingerprint(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def with_next(df: DataFrame, more=lambda d: d, carry: tuple[str, ...] = ("text",)) -> DataFrame:
     """Add ``next_<c>`` for each ``carry`` column, of the row that follows by (id, text); after the last the first.
 
-    Ids are cut into blocks at approximate quantiles (the driver gets one number a block), rows travel
-    once, to their block, and the first row of a block also goes to the block before it, as the
-    follower of its last row. No task sees more than some blocks. ``more`` adds columns after the
-    rows have travelled.
+    Rows are cut into blocks by (id, first ``HEAD`` code points of the text), at the least of each part of a range sort of these
+    keys alone (the driver gets one key a block). Whole rows travel once, to their block, and the rows that open a block also go to
+    the block before it, as the followers of its last row. So neither null ids nor an id that many rows have fill one task,
+    but for rows that begin alike too. ``more`` adds columns after the rows have travelled.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    k = parts * BLOCKS_PER_PARTITION
-    seen = df.agg(
-        F.percentile_approx("id", [i / k for i in range(1, k)], 10 * k).alias("q"), F.min("id").alias("least"), F.count(F.when(F.col("id").isNull(), 1)).alias("nulls")
-    ).first()
-    cuts = sorted({x for x in seen["q"] or () if x > seen["least"]})
-    block = count_at_most(cuts, F.col("id"), "bigint")
-    first = F.col("id").isNull() if seen["nulls"] else F.col("id") == F.lit(seen["least"]).cast("bigint")
-    df = df.withColumn("block", block)
+    df = df.withColumn("key", F.struct("id", F.left("text", F.lit(HEAD)).alias("head")))
+    keys = df.select("key.id", "key.head").repartitionByRange(parts * BLOCKS_PER_PARTITION, F.asc_nulls_first("id"), "head")
+    found = keys.groupBy(F.spark_partition_id().alias("b")).agg(F.min(F.struct("id", "head")).alias("k")).collect()
+    opened = sorted({(r["k"]["id"] is not None, r["k"]["id"] or 0, r["k"]["head"]) for r in found}, key=lambda x: (*x[:2], x[2].encode()))
+    kind = "struct<id:bigint,head:string>"
+    points = [F.struct(F.lit(i if known else None).cast("bigint").alias("id"), F.lit(head).alias("head")) for known, i, head in opened]
+    cuts = points[1:]
+    df = df.withColumn("block", count_at_most(cuts, F.col("key"), kind))
+    same = lambda k: F.col("key.id").eqNullSafe(k["id"]) & (F.col("key.head") == k["head"])
+    first = same(points[0]) if points else F.lit(False)
     opens = F.col("block") > 0
     if cuts:
-        opens &= F.get(F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>"), F.col("block") - 1) == F.col("id")
+        opens &= same(F.get(F.array(*cuts).cast(f"array<{kind}>"), F.col("block") - 1))
     to = F.filter(
         F.array(
             F.struct(F.col("block").alias("b"), F.lit(0).alias("guest")),
@@ -114,7 +118,7 @@ def with_next(df: DataFrame, more=lambda d: d, carry: tuple[str, ...] = ("text",
         ),
         lambda x: x.isNotNull(),
     )
-    df = df.withColumn("to", F.explode(to)).select("*", "to.b", "to.guest").drop("to", "block")
+    df = df.withColumn("to", F.explode(to)).select("*", "to.b", "to.guest").drop("to", "block", "key")
     df = more(df.repartition(parts, "b"))
     w = W.partitionBy("b").orderBy("guest", F.asc_nulls_first("id"), "text")
     for c in carry:
