@@ -101,7 +101,9 @@ def judge(df: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str
 
 
 def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
-    return spark.createDataFrame(list(rules), "host string, path string, verdict string")
+    names = ("host", "path", "verdict")
+    rows = F.array(*[F.struct(*[F.lit(v).cast("string").alias(n) for n, v in zip(names, r)]) for r in rules])
+    return spark.range(1).select(F.inline(rows))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
