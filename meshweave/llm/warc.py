@@ -11,6 +11,8 @@ line and is as long as its Content-Length says; a chance magic inside compressed
 record belongs to the range in which it starts, so its task may read beyond its range, and records are
 found once however files are cut. A member's end is the next candidate.
 
+Record ids hold the id and the row's place in the input, so that they differ; the input must give the same rows when it is read twice.
+
 Defined results: null payload is empty; null URLs leave out the target; null ids are written as ``null`` and
 are first only where no row with the payload has an id; rows with equal ids and payloads that are first
 are all responses; an empty table gives no rows; other columns are ignored. Control characters in URLs are
@@ -31,8 +33,8 @@ from ..plans.lineage import discard, materialize, new_path
 from .storage import Output, make_dir, open_input, size_of
 from .text import table
 
-#: Bytes of a range for one task; bytes read at a time.
-SPLIT, READ = 4 << 20, 1 << 16
+#: Bytes of a range for one task; bytes looked at at a time; bytes read at a time.
+SPLIT, READ, AHEAD = 4 << 20, 1 << 14, 1 << 18
 #: Shortest payload that is stored once.
 LEAST = 0
 # Fixed values of the formats.
@@ -45,15 +47,15 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None, revisit: bool) -> bytes:
-    """One record, compressed as a member of its own."""
+def record(page_id: int | None, row: int, url: str | None, payload: bytes, digest: str, first, revisit: bool) -> bytes:
+    """One record, compressed as a member of its own; ``first`` holds id and row of the response that a revisit refers to."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    head = [f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{URN}{'null' if page_id is None else page_id}>", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}"]
+    head = [f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{URN}{'null' if page_id is None else page_id}:{row}>", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}"]
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
     if revisit:
-        head += [f"WARC-Refers-To: <{URN}{first}>", f"WARC-Profile: {REVISIT_PROFILE}"]
+        head += [f"WARC-Refers-To: <{URN}{first['id']}:{first['row']}>", f"WARC-Profile: {REVISIT_PROFILE}"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
     return squeeze.compress(VERSION + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + squeeze.flush()
@@ -64,24 +66,25 @@ def write_archive(df: DataFrame, folder: str, least: int = LEAST) -> list:
     import pyarrow as pa
 
     rows = df.select("id", "url", F.coalesce("payload", F.lit("")).alias("payload")).withColumn("digest", F.sha1(F.col("payload").cast("binary")))
+    rows = rows.withColumn("row", F.monotonically_increasing_id())  # rows with equal ids are records of their own
     # the first ids are a table of their own, so that a payload that many rows hold can be split in the join
-    firsts = materialize(rows.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "warc-firsts")
+    firsts = materialize(rows.groupBy("digest").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "row"))).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "warc-firsts")
 
     def write(batches):
         out, n = None, 0
         for batch in batches:
-            for page_id, url, payload, first in zip(*(batch.column(c).to_pylist() for c in ("id", "url", "payload", "first"))):
+            for page_id, row, url, payload, first in zip(*(batch.column(c).to_pylist() for c in ("id", "row", "url", "payload", "first"))):
                 out = out or Output(folder, "pages", ".warc.gz")
                 raw = payload.encode()
-                revisit = len(raw) >= least and first is not None and page_id != first
-                out.write(record(page_id, url, raw, sha1_base32(raw), first, revisit))
+                revisit = len(raw) >= least and first is not None and page_id != first["id"]
+                out.write(record(page_id, row, url, raw, sha1_base32(raw), first, revisit))
                 n += 1
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pydict({"uri": [out.uri], "size": [out.size], "records": [n]})
 
     make_dir(folder)
-    joined = rows.join(firsts, "digest", "left").select("id", "url", "payload", "first")
+    joined = rows.join(firsts, "digest", "left").select("id", "row", "url", "payload", "first")
     files = joined.mapInArrow(write, "uri string, size long, records long").collect()
     discard(firsts)
     return sorted(files, key=lambda r: r["uri"])
@@ -92,10 +95,15 @@ class Members:
 
     def __init__(self, file, size: int, read: int = READ):
         self.file, self.size, self.read = file, size, read
+        self.held, self.begin = b"", 0
 
     def _at(self, offset: int, n: int) -> bytes:
-        self.file.seek(offset)
-        return self.file.read(n)
+        """Bytes of the file; what was read ahead serves the search, the member at the place found, and the next ones."""
+        at = offset - self.begin
+        if at < 0 or (at + n > len(self.held) and self.begin + len(self.held) < self.size) or at > len(self.held):
+            self.file.seek(offset)
+            self.held, self.begin, at = self.file.read(max(n, AHEAD)), offset, 0
+        return self.held[at : at + n]
 
     def candidate(self, lo: int, hi: int) -> int:
         """The first place in [lo, hi) that has the gzip magic, or ``hi``."""
@@ -148,7 +156,7 @@ class Members:
 
 def parse(fields: dict[str, str], block: bytes) -> tuple:
     """(id, url, type, refers to, payload bytes, digest, payload); a payload is held against its digest."""
-    number = lambda x: None if x in (None, f"<{URN}null>") else int(x[len(URN) + 1 : -1])
+    number = lambda x: None if x is None or x.startswith(f"<{URN}null:") else int(x[len(URN) + 1 : -1].split(":")[0])
     head, _, payload = block.partition(b"\r\n\r\n")
     n = int(re.search(rb"(?im)^Content-Length: (\d+)", head)[1])
     digest, kind = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"]
