@@ -14,8 +14,8 @@ The driver holds one row a source.
 
 Defined results: null text has size 0; a document of size 0 is never taken; sources are ordered by code
 point, null last; of a source that is all empty nothing is taken; rows with equal ids are separate
-documents, ordered by size; an empty table gives no rows; other columns are kept by ``mix`` and ignored by
-``assign``. Reruns agree, as the order depends on ids alone.
+documents; an empty table gives no rows; other columns are kept by ``mix`` and ignored by
+``assign``. Reruns agree, as the order depends on a hash of id and size alone, which also deals out null ids and ids of many rows.
 """
 
 from __future__ import annotations
@@ -82,7 +82,7 @@ def assign(docs: DataFrame, seed: int = 0) -> DataFrame:
     same = docs["source"].eqNullSafe(plan["source"])
     d = docs.join(plan, same, "left").drop(plan["source"])
     # the bucket is the leading part of the order, so that the buckets' order is the documents' order
-    d = d.withColumn("ord", F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")), 256), 1, 15), 16, 10).cast("long"))
+    d = d.withColumn("ord", F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"), F.col("size").cast("string")), 256), 1, 15), 16, 10).cast("long"))
     d = d.withColumn("bucket", F.floor(F.col("ord").cast("double") / F.lit(2.0**60) * F.col("buckets")).cast("long"))
     sums = d.groupBy("sid", "bucket").agg(F.sum("size").alias("held"))
     before = F.coalesce(F.sum("held").over(W.partitionBy("sid").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -127,7 +127,7 @@ def _w(x: str) -> str:
 #: Targets by water-filling in closed form: sources by size for their weight; the capped ones come first.
 OP9_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
-    ('0x' || left(sha256(CASE WHEN doc_id IS NULL THEN '0' ELSE '0:' || doc_id END), 15))::BIGINT AS ord FROM documents),
+    ('0x' || left(sha256(CASE WHEN doc_id IS NULL THEN '0:' || size ELSE '0:' || doc_id || ':' || size END), 15))::BIGINT AS ord FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source),
 o AS (SELECT *, {_w("i")} AS wt, {PASSES} * source_size / {_w("i")} AS room, (SELECT sum(source_size) FROM s) AS total FROM s),
 c AS (SELECT *, coalesce(sum({PASSES} * source_size) OVER (ORDER BY room, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,

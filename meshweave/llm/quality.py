@@ -108,13 +108,12 @@ def apply_policy(book: DataFrame, version: int = CURRENT) -> DataFrame:
 
 def ablations(book: DataFrame, version: int = CURRENT) -> DataFrame:
     """For each rule of a policy: documents that fail it, that only it rejects, and that the policy without it keeps."""
-    spark, policy = book.sparkSession, mask({*BASE, *POLICIES[version]})
+    policy = mask({*BASE, *POLICIES[version]})
     counts = book.groupBy(F.col("fail_bits").bitwiseAND(F.lit(policy).cast("long")).alias("bits")).agg(F.count(F.lit(1)).alias("n"))
     rules = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(bit(r.name)).cast("long").alias("bit")) for r in RULES if bit(r.name) & policy])
     each = counts.select("n", "bits", F.inline(rules))
     without = F.col("bits").bitwiseAND(F.bitwise_not("bit"))
     total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("long")
-    del spark
     return each.groupBy("rule").agg(
         total(F.col("bits").bitwiseAND(F.col("bit")) != 0).alias("n_failed"),
         total(F.col("bits") == F.col("bit")).alias("n_only"),
