@@ -115,8 +115,8 @@ class PieceCodec:
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
         with open(path, "rb") as f:
             model = list(fields(f.read()))
-        spec = dict(fields(next((v for k, v in model if k == NORMALIZER), b"")))
-        trainer = dict(fields(next((v for k, v in model if k == TRAINER), b"")))
+        # messages of one number are parts of one
+        spec, trainer = (dict(fields(b"".join(v for k, v in model if k == number))) for number in (NORMALIZER, TRAINER))
         self.map = CharMap(spec.get(CHARS_MAP, b""))
         self.prefix, self.squeeze, self.escape = bool(spec.get(DUMMY_PREFIX, 1)), bool(spec.get(EXTRA_SPACES, 1)), bool(spec.get(ESCAPE, 1))
         if trainer.get(MARK_AS_SUFFIX):
