@@ -301,7 +301,9 @@ class Graph:
         self._undirected("bridges")
 
         def run(g: Arrays):
-            return (g.edge_id[np.array(kernels.low_links(g.n, g.src, g.dst)[0], np.int64)],)
+            label = kernels.block_labels(g.n, g.src, g.dst)
+            alone = np.bincount(label[label >= 0], minlength=g.n) == 1
+            return (g.edge_id[(label >= 0) & alone[label]],)
 
         return self._rows().join(self._by_component(run, "edge_id long", spread.bridges), "edge_id").select("edge_id", "src", "dst", "branch_id")
 
@@ -315,10 +317,11 @@ class Graph:
         self._undirected("biconnected_components")
 
         def run(g: Arrays):
-            found = [g.edge_id[np.array(b)] for b in kernels.low_links(g.n, g.src, g.dst)[1]]
-            if not found:
-                return np.zeros(0, np.int64), np.zeros(0, np.int64)
-            return np.repeat([b.min() for b in found], [len(b) for b in found]), np.concatenate(found)
+            label = kernels.block_labels(g.n, g.src, g.dst)
+            edges, label = g.edge_id[label >= 0], label[label >= 0]
+            least = np.full(g.n, np.iinfo(np.int64).max)
+            np.minimum.at(least, label, edges)
+            return least[label], edges
 
         return self._by_component(run, "block_id long, edge_id long", spread.blocks)
 
@@ -342,10 +345,8 @@ class Graph:
         self._undirected("cycle_basis")
 
         def run(g: Arrays):
-            found = kernels.fundamental_cycles(g.n, g.src, g.dst)
-            n = [len(c) for _, c in found]
-            nodes = g.ids[np.array([v for _, c in found for v in c], np.int64)]
-            return np.repeat(g.edge_id[np.array([s for s, _ in found], np.int64)], n), np.array([k for x in n for k in range(x)], np.int64), nodes
+            slot, position, node = kernels.cycle_rows(g.n, g.src, g.dst)
+            return g.edge_id[slot], position, g.ids[node]
 
         return self._by_component(run, "cycle_id long, position long, node_id long", spread.cycle_basis)
 
@@ -393,9 +394,8 @@ class Graph:
             directed = self.directed
 
             def run(g: Arrays):
-                out = kernels.visit_order(g.n, g.src, g.dst, g.edge_id, directed, g.place(source))
-                ids, level, parent = np.array(out).T
-                return g.ids[ids], level, np.arange(len(out)), [None if p < 0 else int(g.ids[p]) for p in parent]
+                nodes, level, parent = kernels.visit_order(g.n, g.src, g.dst, directed, g.place(source))
+                return g.ids[nodes], level, np.arange(len(nodes)), [None if p < 0 else int(g.ids[p]) for p in parent]
 
             return self._whole(run, schema)
         from pyspark.sql import Window as W
@@ -419,7 +419,7 @@ class Graph:
         g = self
         if weights is not None:
             g = self._with(edges=self.all_edges.drop("weight").join(weights.select("edge_id", F.col("weight").cast("double")), "edge_id", "left"))
-        bad = g.edges.agg(F.count(F.when(F.col("weight").isNull(), 1)), F.count(F.when(F.col("weight") < 0, 1))).first()
+        bad = g._rows().agg(F.count(F.when(F.col("weight").isNull(), 1)), F.count(F.when(F.col("weight") < 0, 1))).first()
         if bad[0] or bad[1]:
             raise ValueError(f"{bad[0]} edges without a weight, {bad[1]} negative weights")
         return g
@@ -429,19 +429,16 @@ class Graph:
         g = self._weighted(weights)
         cutoff = None if cutoff is None or cutoff < 0 else cutoff
         schema = "node_id long, distance double, hops long, pred long"
-        starts = self._ids(sources, "node_id").join(self.nodes, "node_id", "left_semi")
-        seeds = [r[0] for r in starts.collect()]
-        if not seeds:
-            return self.spark.createDataFrame([], schema)
         if g._small():
             directed = self.directed
 
             def run(a: Arrays):
-                best = kernels.distances(a.n, a.src, a.dst, a.weight, directed, [a.place(s) for s in seeds], cutoff)
+                best = kernels.distances(a.n, a.src, a.dst, a.weight, directed, [a.place(s) for s in dict.fromkeys(sources) if a.has(s)], cutoff)
                 hit = [k for k in range(a.n) if best[k][0] != np.inf]
                 return a.ids[hit], [best[k][0] for k in hit], [best[k][1] for k in hit], [None if best[k][2] < 0 else int(a.ids[best[k][2]]) for k in hit]
 
             return g._whole(run, schema)
+        starts = self._ids(sources, "node_id").join(self.nodes, "node_id", "left_semi")
         ahead = materialize(g._ahead().select("src", "dst", "weight"), "ahead")
         best = materialize(starts.select("node_id", F.struct(F.lit(0.0).alias("distance"), F.lit(0).cast("long").alias("hops"), F.lit(None).cast("long").alias("pred")).alias("b"), F.lit(True).alias("new")), "best")
         while not best.where("new").isEmpty():
@@ -610,6 +607,10 @@ class Arrays:
     def place(self, node: int) -> int:
         return int(np.searchsorted(self.ids, node))
 
+    def has(self, node: int) -> bool:
+        at = self.place(node)
+        return at < self.n and int(self.ids[at]) == node
+
 
 def _table(kernel, schema: str):
     """A kernel over arrays as a function of Arrow tables."""
