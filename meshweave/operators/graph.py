@@ -66,9 +66,12 @@ class Graph:
         return e.select(*EDGE_COLUMNS)
 
     def _both(self, loops_twice: bool = True) -> DataFrame:
-        e = self.edges
-        back = e.select("edge_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "branch_id", "weight")
-        return e.union(back if loops_twice else back.where("src <> dst"))
+        """Each edge from both ends, in one pass over the edges."""
+        there, back = F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        ends = F.array(there, back)
+        if not loops_twice:
+            ends = F.when(F.col("src") == F.col("dst"), F.array(there)).otherwise(ends)
+        return self.edges.withColumn("end", F.explode(ends)).select("edge_id", "end.src", "end.dst", "branch_id", "weight")
 
     def _ahead(self) -> DataFrame:
         return self.edges if self.directed else self._both(False)
@@ -81,10 +84,10 @@ class Graph:
     def _with(self, nodes=None, edges=None, masked=None, unique: bool = True) -> Graph:
         return Graph(nodes if nodes is not None else self.nodes, edges if edges is not None else self.all_edges, self.directed, masked=masked if masked is not None else self.masked, unique=unique)
 
-    def _rows(self) -> DataFrame:
-        """The edges, written at the first call, so that counting them and the operator after it read the same table."""
-        if self._written is None:
-            self._written = materialize(self.edges, "edges")
+    def _rows(self, *columns: str) -> DataFrame:
+        """The edges with these columns, or all, written at the first call, so that counting them and the operator after it read the same table."""
+        if self._written is None or not set(columns or EDGE_COLUMNS) <= set(self._written.columns):
+            self._written = materialize(self.edges.select(*columns) if columns else self.edges, "edges")
         return self._written
 
     def persist(self) -> Graph:
@@ -223,26 +226,26 @@ class Graph:
 
     # running kernels
 
-    def _small(self) -> bool:
-        return self._rows().count() <= KERNEL_EDGES
+    def _small(self, *columns: str) -> bool:
+        return self._rows(*columns).count() <= KERNEL_EDGES
 
-    def _whole(self, kernel, schema: str, nodes: bool = True) -> DataFrame:
+    def _whole(self, kernel, schema: str, columns: tuple[str, ...] = ("edge_id", "src", "dst"), nodes: bool = True) -> DataFrame:
         """One task over the graph; only for graphs whose size was checked."""
-        rows = self._rows().select("edge_id", "src", "dst", "weight")
-        if nodes:
-            none = lambda t: F.lit(None).cast(t)
-            rows = rows.union(self.nodes.select(none("long"), "node_id", none("long"), none("double")))
+        rows = self._rows(*columns).select(*columns)
+        if nodes:  # without a target
+            rows = rows.union(self.nodes.select(*[F.col("node_id") if c == "src" else F.lit(None).cast(EDGE_COLUMNS[c]) for c in columns]))
         return rows.repartition(1).mapInArrow(_once(kernel, schema), schema)
 
-    def _by_component(self, kernel, schema: str, apart) -> DataFrame:
+    def _by_component(self, kernel, schema: str, apart, columns: tuple[str, ...] = ("edge_id", "src", "dst")) -> DataFrame:
         """A kernel over each connected component's edges; all edges in one task if the graph is small.
 
         ``apart`` gives the same rows by joins, for components of more than ``COMPONENT_EDGES`` edges.
         """
-        if self._small():
-            return self._whole(kernel, schema, nodes=False)
-        labels = label_components(self._rows())
-        rows = self._rows().join(labels, F.col("src") == F.col("node_id")).select("component_id", "edge_id", "src", "dst", "weight")
+        if self._small(*columns):
+            return self._whole(kernel, schema, columns, nodes=False)
+        edges = self._rows(*columns)
+        labels = label_components(edges)
+        rows = edges.join(labels, F.col("src") == F.col("node_id")).select("component_id", *columns)
         rows = materialize(rows, "by-component")
         large = materialize(rows.groupBy("component_id").count().where(F.col("count") > COMPONENT_EDGES).select("component_id"), "large")
         one = _table(kernel, schema)
@@ -261,14 +264,14 @@ class Graph:
         return self._components()
 
     def _components(self) -> DataFrame:
-        if self._small():
+        if self._small("src", "dst"):
 
             def run(g: Arrays):
                 return g.ids, g.ids[kernels.union_labels(g.n, g.src, g.dst)]
 
-            labels = self._whole(run, "node_id long, component_id long", nodes=False)
+            labels = self._whole(run, "node_id long, component_id long", ("src", "dst"), nodes=False)
         else:
-            labels = label_components(self._rows())
+            labels = label_components(self._rows("src", "dst"))
         return self.nodes.join(labels, "node_id", "left").select("node_id", F.coalesce("component_id", "node_id").alias("component_id"))
 
     def connected_components_with_branch_ids(self) -> DataFrame:
@@ -291,7 +294,7 @@ class Graph:
         def run(g: Arrays):
             return g.ids, g.ids[kernels.strong_components(g.n, g.src, g.dst)]
 
-        labels = self._by_component(run, "node_id long, scc_id long", spread.strong_components)
+        labels = self._by_component(run, "node_id long, scc_id long", spread.strong_components, ("src", "dst"))
         return self.nodes.join(labels, "node_id", "left").select("node_id", F.coalesce("scc_id", "node_id").alias("scc_id"))
 
     # structure
@@ -327,7 +330,7 @@ class Graph:
 
     def biconnected_components(self) -> DataFrame:
         """(block_id, node_id)."""
-        at = self.blocks().join(self._rows(), "edge_id")
+        at = self.blocks().join(self._rows("edge_id", "src", "dst"), "edge_id")
         return at.select("block_id", F.explode(F.array("src", "dst")).alias("node_id")).distinct()
 
     def articulation_points(self) -> DataFrame:
@@ -390,7 +393,7 @@ class Graph:
             masked = self.masked is not None and not self.masked.where(F.col("node_id") == source).isEmpty()
             raise ValueError("source node is excluded" if masked else "source not in node_ids")
         schema = "node_id long, level long, visit_rank long, parent long"
-        if self._small():
+        if self._small("edge_id", "src", "dst"):
             directed = self.directed
 
             def run(g: Arrays):
@@ -419,7 +422,7 @@ class Graph:
         g = self
         if weights is not None:
             g = self._with(edges=self.all_edges.drop("weight").join(weights.select("edge_id", F.col("weight").cast("double")), "edge_id", "left"))
-        bad = g._rows().agg(F.count(F.when(F.col("weight").isNull(), 1)), F.count(F.when(F.col("weight") < 0, 1))).first()
+        bad = g._rows("src", "dst", "weight").agg(F.count(F.when(F.col("weight").isNull(), 1)), F.count(F.when(F.col("weight") < 0, 1))).first()
         if bad[0] or bad[1]:
             raise ValueError(f"{bad[0]} edges without a weight, {bad[1]} negative weights")
         return g
@@ -429,7 +432,7 @@ class Graph:
         g = self._weighted(weights)
         cutoff = None if cutoff is None or cutoff < 0 else cutoff
         schema = "node_id long, distance double, hops long, pred long"
-        if g._small():
+        if g._small("src", "dst", "weight"):
             directed = self.directed
 
             def run(a: Arrays):
@@ -437,7 +440,7 @@ class Graph:
                 hit = [k for k in range(a.n) if best[k][0] != np.inf]
                 return a.ids[hit], [best[k][0] for k in hit], [best[k][1] for k in hit], [None if best[k][2] < 0 else int(a.ids[best[k][2]]) for k in hit]
 
-            return g._whole(run, schema)
+            return g._whole(run, schema, ("src", "dst", "weight"))
         starts = self._ids(sources, "node_id").join(self.nodes, "node_id", "left_semi")
         ahead = materialize(g._ahead().select("src", "dst", "weight"), "ahead")
         best = materialize(starts.select("node_id", F.struct(F.lit(0.0).alias("distance"), F.lit(0).cast("long").alias("hops"), F.lit(None).cast("long").alias("pred")).alias("b"), F.lit(True).alias("new")), "best")
@@ -472,7 +475,7 @@ class Graph:
         if source == target:
             return self.spark.createDataFrame([(0, source, 0.0)], schema)
         g = self._weighted(weights)
-        if g._small():
+        if g._small("src", "dst", "weight"):
             directed = self.directed
 
             def run(a: Arrays):
@@ -483,7 +486,7 @@ class Graph:
                 path.reverse()
                 return np.arange(len(path)), a.ids[np.array(path, np.int64)], [best[v][0] for v in path]
 
-            return g._whole(run, schema)
+            return g._whole(run, schema, ("src", "dst", "weight"))
         found = materialize(g._paths(None, [source], None), "paths")
         path, at = [], target
         while at is not None:
@@ -523,15 +526,15 @@ class Graph:
 
     def _levels(self, what: str) -> DataFrame:
         """(node_id, level), level the most edges that lead to the node; raises on a cycle."""
-        if self._small():
+        if self._small("src", "dst"):
 
             def run(g: Arrays):
                 return g.ids, kernels.levels(g.n, g.src, g.dst)
 
-            out = materialize(self._whole(run, "node_id long, level long"), "levels")
+            out = materialize(self._whole(run, "node_id long, level long", ("src", "dst")), "levels")
             stuck = out.where("level < 0").count()
         else:
-            left, out, k, stuck = materialize(self._rows().select("src", "dst"), "left"), None, 0, 0
+            left, out, k, stuck = materialize(self._rows("src", "dst").select("src", "dst"), "left"), None, 0, 0
             nodes = materialize(self.nodes, "nodes")
             while True:
                 free = materialize(nodes.join(left.select(F.col("dst").alias("node_id")).distinct(), "node_id", "left_anti"), "free")
@@ -559,7 +562,7 @@ class Graph:
         if weights is not None:
             g = self._with(edges=self.all_edges.drop("weight").join(weights.select("edge_id", F.col("weight").cast("double")), "edge_id"))
         schema = "position long, node_id long, length double"
-        if g._small():
+        if g._small("src", "dst", "weight"):
 
             def run(a: Arrays):
                 level = kernels.levels(a.n, a.src, a.dst)
@@ -568,7 +571,7 @@ class Graph:
                 length, path = kernels.longest(a.n, a.src, a.dst, a.weight, level)
                 return np.arange(len(path)), a.ids[path] if path else np.zeros(0, np.int64), np.full(len(path), length)
 
-            out = materialize(g._whole(run, schema), "longest")
+            out = materialize(g._whole(run, schema, ("src", "dst", "weight")), "longest")
             if not out.where("position < 0").isEmpty():
                 raise ValueError("Graph contains a cycle - dag_longest_path is undefined")
             return out
@@ -596,11 +599,14 @@ class Arrays:
     def __init__(self, table):
         import pyarrow.compute as pc
 
-        edges = table.filter(pc.is_valid(table.column("edge_id")))
-        lone = table.filter(pc.is_null(table.column("edge_id"))).column("src").to_numpy()
-        col = lambda c: edges.column(c).to_numpy()
-        order = np.argsort(col("edge_id"), kind="stable")  # whatever the order of arrival, kernels see edges by id
-        self.edge_id, self.weight = col("edge_id")[order], edges.column("weight").to_numpy(zero_copy_only=False)[order] if len(order) else np.zeros(0)
+        edges = table.filter(pc.is_valid(table.column("dst")))
+        lone = table.filter(pc.is_null(table.column("dst"))).column("src").to_numpy()
+        col = lambda c: edges.column(c).to_numpy(zero_copy_only=False) if edges.num_rows else np.zeros(0, np.int64)
+        # where edges have ids, kernels see them by id, whatever the order of arrival
+        order = np.argsort(col("edge_id"), kind="stable") if "edge_id" in edges.column_names else slice(None)
+        for c in ("edge_id", "weight"):
+            if c in edges.column_names:
+                setattr(self, c, col(c)[order])
         self.ids, (self.src, self.dst, _) = kernels.local_ids(col("src")[order], col("dst")[order], lone)
         self.n = len(self.ids)
 
