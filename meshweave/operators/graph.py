@@ -436,9 +436,9 @@ class Graph:
             directed = self.directed
 
             def run(a: Arrays):
-                best = kernels.distances(a.n, a.src, a.dst, a.weight, directed, [a.place(s) for s in dict.fromkeys(sources) if a.has(s)], cutoff)
-                hit = [k for k in range(a.n) if best[k][0] != np.inf]
-                return a.ids[hit], [best[k][0] for k in hit], [best[k][1] for k in hit], [None if best[k][2] < 0 else int(a.ids[best[k][2]]) for k in hit]
+                d, hops, pred = kernels.distances(a.n, a.src, a.dst, a.weight, directed, [a.place(s) for s in dict.fromkeys(sources) if a.has(s)], cutoff)
+                hit = np.flatnonzero(np.isfinite(d))
+                return a.ids[hit], d[hit], hops[hit], [None if p < 0 else int(a.ids[p]) for p in pred[hit].tolist()]
 
             return g._whole(run, schema, ("src", "dst", "weight"))
         starts = self._ids(sources, "node_id").join(self.nodes, "node_id", "left_semi")
@@ -479,12 +479,13 @@ class Graph:
             directed = self.directed
 
             def run(a: Arrays):
-                best, at, path = kernels.distances(a.n, a.src, a.dst, a.weight, directed, [a.place(source)], None), a.place(target), []
-                while at >= 0 and best[at][0] != np.inf:
+                d, _, pred = kernels.distances(a.n, a.src, a.dst, a.weight, directed, [a.place(source)], None)
+                at, path = a.place(target), []
+                while at >= 0 and np.isfinite(d[at]):
                     path.append(at)
-                    at = best[at][2]
-                path.reverse()
-                return np.arange(len(path)), a.ids[np.array(path, np.int64)], [best[v][0] for v in path]
+                    at = int(pred[at])
+                path = np.array(path[::-1], np.int64)
+                return np.arange(len(path)), a.ids[path], d[path]
 
             return g._whole(run, schema, ("src", "dst", "weight"))
         found = materialize(g._paths(None, [source], None), "paths")
