@@ -10,7 +10,8 @@ position. Copies are then range-sorted by position.
 
 The running sum is made without a task for a whole source: documents fall into hash buckets of a bounded
 mean size, one narrow row a (source, bucket) is summed over the buckets, and each bucket adds its offset.
-The driver holds one row a source.
+Sources are ranked and given their targets by aggregates over them, so the driver holds a few numbers, however
+many sources there are.
 
 Defined results: null text has size 0; a document of size 0 is never taken; sources are ordered by code
 point, null last; of a source that is all empty nothing is taken; rows with equal ids are separate
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.lineage import discard, materialize
 from .text import WORD, count_words, table
 
 #: Weights by the source's place, repeating.
@@ -36,41 +38,50 @@ BUCKET_ROWS = 2_000
 MOST_TILT = 0.5
 
 
-def solve_targets(sizes: list[float], weights: list[float], most: float = PASSES) -> list[float]:
-    """Share the sum of sizes by weight; a target stops at ``most`` times its size and the excess is shared anew."""
-    targets, left, open_ = [0.0] * len(sizes), float(sum(sizes)), set(range(len(sizes)))
-    while open_:
-        total = sum(weights[i] for i in open_)
-        over = [i for i in sorted(open_) if left * weights[i] / total > most * sizes[i]]
-        if not over:
-            for i in open_:
-                targets[i] = left * weights[i] / total
-            break
-        for i in over:
-            targets[i] = float(most * sizes[i])
-        left -= sum(targets[i] for i in over)
-        open_ -= set(over)
-    return targets
-
-
-def tilts(targets: list[float], most: float = MOST_TILT) -> list[float]:
-    """From early to late in source order, centred so that the tilts weighted by target add up to 0."""
-    total, n = sum(targets), len(targets)
-    if n < 2 or not total:
-        return [0.0] * n
-    raw = [2.0 * i / (n - 1) - 1 for i in range(n)]
-    mean = sum(r * t for r, t in zip(raw, targets)) / total
-    return [most * (r - mean) / 2 for r in raw]
+def _ranked(sums: DataFrame) -> DataFrame:
+    """The written sources with ``sid``, their place by code point, null last: counted within ranges, so that no task has all."""
+    key = F.asc_nulls_last("source")
+    cut = materialize(sums.repartitionByRange(key).withColumn("p", F.spark_partition_id()), "sources")
+    # one narrow row a range
+    before = F.coalesce(F.sum("c").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ahead = cut.groupBy("p").agg(F.count(F.lit(1)).alias("c")).select("p", before.alias("ahead"))
+    place = F.row_number().over(W.partitionBy("p").orderBy(key)) - 1
+    out = materialize(cut.withColumn("sid", place).join(ahead, "p").withColumn("sid", (F.col("sid") + F.col("ahead")).cast("long")).drop("p", "ahead"), "ranked")
+    discard(cut)
+    return out
+
+
+def _level(sources: DataFrame) -> float:
+    """What a weight of 1 gets: the level at which the targets min(weight * level, PASSES * size) add up to all sizes.
+
+    Newton's method on a concave, piecewise linear function: each round is one aggregate over the sources, the level
+    only rises, and the round that stops no further source ends it, with the exact value.
+    """
+    most = F.col("source_size") * PASSES
+    level, stopped = 0.0, -1
+    while True:
+        over = most / F.col("weight") < F.lit(level)
+        got = sources.agg(F.sum("source_size"), F.sum(F.when(over, most).otherwise(0)), F.sum(F.when(over, 0).otherwise(F.col("weight"))), F.count(F.when(over, 1))).first()
+        if not got[0] or got[3] == stopped or not got[2]:
+            return level
+        level, stopped = (got[0] - got[1]) / got[2], got[3]
 
 
 def source_plan(docs: DataFrame) -> DataFrame:
-    """One row a source: place, size, target, tilt, buckets."""
-    spark = docs.sparkSession
-    got = docs.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
-    got = sorted(got, key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be")))
-    targets = solve_targets([r["size"] for r in got], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(got))])
-    rows = [(i, r["source"], int(r["size"]), t, a, max(1, -(-int(r["n"]) // BUCKET_ROWS))) for i, (r, t, a) in enumerate(zip(got, targets, tilts(targets)))]
-    return spark.createDataFrame(rows, "sid long, source string, source_size long, target double, tilt double, buckets long")
+    """One row a source: place, size, target, tilt, buckets. Tilts go from early to late in source order, centred by target."""
+    sums = docs.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    ranked = _ranked(sums).withColumn("weight", F.get(F.array(*[F.lit(w) for w in WEIGHTS]), (F.col("sid") % len(WEIGHTS)).cast("int")))
+    level = _level(ranked)
+    plan = ranked.withColumn("target", F.least(F.col("weight") * F.lit(level), (F.col("source_size") * PASSES).cast("double")))
+    ends = plan.agg(F.count(F.lit(1)), F.sum("source_size")).first()
+    raw = F.col("sid") * (2.0 / max(1, ends[0] - 1)) - 1
+    mean = 0.0
+    if ends[1]:
+        # decimals add up to the same in any order
+        mean = float(plan.agg(F.sum((raw * F.col("target")).cast("decimal(38,6)"))).first()[0]) / ends[1]
+    tilt = (raw - mean) * (MOST_TILT / 2) if ends[0] > 1 and ends[1] else F.lit(0.0)
+    buckets = F.greatest(F.lit(1), F.ceil(F.col("n") / BUCKET_ROWS)).cast("long")
+    return plan.select("sid", "source", "source_size", "target", tilt.alias("tilt"), buckets.alias("buckets"))
 
 
 def assign(docs: DataFrame, seed: int = 0) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meshweave.llm import fingerprints, html_text, jaccard, mixing, pieces, quality, registry, token_counts, token_frames, tokens, urls, warc
+from meshweave.llm import fingerprints, html_text, jaccard, pieces, quality, registry, token_counts, token_frames, tokens, urls, warc
 from meshweave.plans.lineage import new_path
 
 PAGE_QUERIES = ("op2_html_extract", "op4_url_filter", "op5_warc")
@@ -215,4 +215,3 @@ def test_character_map(tmp_path):
         assert normal.decode() == "".join(c.sp.id_to_piece(i) if not c.sp.is_byte(i) else "" for i in c.sp.encode(t)) or any(c.sp.is_byte(i) for i in c.sp.encode(t))
         b, e = begins[cuts[k] : cuts[k + 1]], ends[cuts[k] : cuts[k + 1]]
         assert (b <= e).all() and (not len(b) or (b[0] == 0 and e[-1] == len(t.encode())))
-    assert mixing.solve_targets([1.0, 1.0], [1, 2]) == [2 / 3, 4 / 3]

@@ -158,9 +158,36 @@ def test_signatures_meet():
                 assert len(np.intersect1d(scheme.signatures(np.unique(a)), scheme.signatures(np.unique(b))))
 
 
-def test_targets_and_mix(spark, docs):
-    assert mixing.solve_targets([100, 10, 10], [1, 2, 3]) == [60.0, 30.0, 30.0]
-    assert sum(mixing.tilts([60.0, 30.0, 30.0])[k] * t for k, t in enumerate([60, 30, 30])) == pytest.approx(0)
+def plain_targets(sizes):
+    """Share by weight; stop the sources whose share is too large, and share what is left anew."""
+    weights, targets, open_, left = [1 + i % 3 for i in range(len(sizes))], [0.0] * len(sizes), set(range(len(sizes))), sum(sizes)
+    while open_:
+        total = sum(weights[i] for i in open_)
+        over = {i for i in open_ if left * weights[i] > 3 * sizes[i] * total}
+        for i in over or open_:
+            targets[i] = 3.0 * sizes[i] if over else left * weights[i] / total
+        left -= sum(targets[i] for i in over)
+        open_ = open_ - over if over else set()
+    return targets
+
+
+def test_targets_of_sources(spark):
+    rng = random.Random(5)
+    cases = [[100, 10, 10], [1, 1], [0, 0], [7], [], [10**6] + [3] * 5, [int(10 ** rng.uniform(0, 6)) for _ in range(700)]]
+    for sizes in cases:
+        names = sorted({chr(97 + rng.randrange(26)) + rng.choice(["é", "日", "🙂", "\uffee", ""]) + str(i) for i in range(len(sizes))}, key=lambda x: x.encode())
+        if len(sizes) > 1:
+            names[-1] = None  # last of all
+        rows = [(i, s, n) for i, (s, n) in enumerate(zip(names, sizes))] + [(None, s, 0) for s in names[:2]]
+        plan = mixing.source_plan(spark.createDataFrame(rows, "doc_id long, source string, size long").repartition(3)).collect()
+        plan.sort(key=lambda r: r["sid"])
+        assert [(r["sid"], r["source"], r["source_size"]) for r in plan] == list(zip(range(len(sizes)), names, sizes))
+        assert [r["target"] for r in plan] == pytest.approx(plain_targets(sizes))
+        assert sum(r["target"] * r["tilt"] for r in plan) == pytest.approx(0, abs=1e-6 * max(1, sum(sizes)))
+        assert all(abs(r["tilt"]) <= mixing.MOST_TILT for r in plan) and [r["tilt"] for r in plan] == sorted(r["tilt"] for r in plan)
+
+
+def test_mix(spark, docs):
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
     own = docs.select("doc_id", "source", mixing.count_words(docs["text"]).alias("size"))
