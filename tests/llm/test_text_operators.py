@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import random
 import zlib
 
 import duckdb
