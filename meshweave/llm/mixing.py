@@ -87,7 +87,7 @@ def source_plan(docs: DataFrame) -> DataFrame:
 def assign(docs: DataFrame, seed: int = 0) -> DataFrame:
     """Add source_size, target, ``positions`` (of the copies taken, ascending by pass) and taken to (doc_id, source, size, ...).
 
-    ``docs`` is read twice: for the totals a source, and for the assignment.
+    ``docs`` is read three times: for the totals a source, for those a bucket, and for the assignment.
     """
     plan = source_plan(docs)
     same = docs["source"].eqNullSafe(plan["source"])
@@ -124,7 +124,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", count_words(F.col("text")).alias("size"))
+    # written, as it is read three times: the texts are counted once
+    docs = materialize(table(spark, sf_dir, "documents").select("doc_id", "source", count_words(F.col("text")).alias("size")), "sized")
     out = assign(docs)
     at = F.get("positions", F.lit(0))
     out = out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", at.alias("at"))
