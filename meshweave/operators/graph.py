@@ -428,41 +428,38 @@ class Graph:
         return g
 
     def _paths(self, weights: DataFrame | None, sources: list[int], cutoff: float | None) -> DataFrame:
-        """(node_id, distance, hops, pred) by least (distance, hops, pred)."""
+        """(node_id, distance) of what the sources reach."""
         g = self._weighted(weights)
         cutoff = None if cutoff is None or cutoff < 0 else cutoff
-        schema = "node_id long, distance double, hops long, pred long"
         if g._small("src", "dst", "weight"):
             directed = self.directed
 
             def run(a: Arrays):
-                d, hops, pred = kernels.distances(a.n, a.src, a.dst, a.weight, directed, [a.place(s) for s in dict.fromkeys(sources) if a.has(s)], cutoff)
+                d, _, _ = kernels.distances(a.n, a.src, a.dst, a.weight, directed, [a.place(s) for s in dict.fromkeys(sources) if a.has(s)], cutoff)
                 hit = np.flatnonzero(np.isfinite(d))
-                return a.ids[hit], d[hit], hops[hit], [None if p < 0 else int(a.ids[p]) for p in pred[hit].tolist()]
+                return a.ids[hit], d[hit]
 
-            return g._whole(run, schema, ("src", "dst", "weight"))
+            return g._whole(run, "node_id long, distance double", ("src", "dst", "weight"))
+        return waves.distances(*g._wave_inputs(sources), cutoff)
+
+    def _wave_inputs(self, sources: list[int]) -> tuple[DataFrame, DataFrame, int, float]:
+        """Known sources, the edges ahead in buckets by src, how many buckets, and the mean weight."""
         starts = self._ids(sources, "node_id").join(self.nodes, "node_id", "left_semi")
-        ahead = materialize(g._ahead().select("src", "dst", "weight"), "ahead")
-        best = materialize(starts.select("node_id", F.struct(F.lit(0.0).alias("distance"), F.lit(0).cast("long").alias("hops"), F.lit(None).cast("long").alias("pred")).alias("b"), F.lit(True).alias("new")), "best")
-        while not best.where("new").isEmpty():
-            front = best.where("new").select(F.col("node_id").alias("src"), "b")
-            step = ahead.join(front, "src").select(F.col("dst").alias("node_id"), F.struct((F.col("b.distance") + F.col("weight")).alias("distance"), (F.col("b.hops") + 1).alias("hops"), F.col("src").alias("pred")).alias("c"))
-            if cutoff is not None:
-                step = step.where(F.col("c.distance") <= cutoff)
-            least = step.groupBy("node_id").agg(F.min("c").alias("c"))
-            both = best.select("node_id", "b").join(least, "node_id", "full")
-            better = F.col("b").isNull() | F.coalesce(F.col("c") < F.col("b"), F.lit(False))
-            after = materialize(both.select("node_id", F.when(better, F.col("c")).otherwise(F.col("b")).alias("b"), better.alias("new")), "best")
-            discard(best)
-            best = after
-        return best.select("node_id", "b.*")
+        count, mean = self._rows("src", "dst", "weight").agg(F.count(F.lit(1)), F.avg("weight")).first()
+        n = buckets(count if self.directed else 2 * count)
+        return starts, bucketed(self._written_ahead(), "src", n, "ahead"), n, mean or 0.0
+
+    def _written_ahead(self) -> DataFrame:
+        """(src, dst, weight) in the directions in which edges are walked, from the written table."""
+        e = self._rows("src", "dst", "weight").select("src", "dst", "weight")
+        return e if self.directed else e.union(e.where("src <> dst").select("dst", "src", "weight"))
 
     def shortest_path_lengths(self, source: int, weights: DataFrame | None = None, cutoff: float | None = None) -> DataFrame:
         """(node_id, distance) of reachable nodes; an inclusive cutoff, none if negative; empty for unknown sources."""
-        return self._paths(weights, [source], cutoff).select("node_id", "distance")
+        return self._paths(weights, [source], cutoff)
 
     def multi_source_shortest_path_lengths(self, sources, weights: DataFrame | None = None, cutoff: float | None = None) -> DataFrame:
-        return self._paths(weights, list(sources), cutoff).select("node_id", "distance")
+        return self._paths(weights, list(sources), cutoff)
 
     def eccentricity(self, source: int, weights: DataFrame | None = None) -> DataFrame:
         return self.shortest_path_lengths(source, weights).agg(F.coalesce(F.max("distance"), F.lit(0.0)).alias("eccentricity"))
@@ -488,14 +485,25 @@ class Graph:
                 return np.arange(len(path)), a.ids[path], d[path]
 
             return g._whole(run, schema, ("src", "dst", "weight"))
-        found = materialize(g._paths(None, [source], None), "paths")
-        path, at = [], target
+        # all edges on paths of least distance to the target make a graph with the same labels, mostly a small one
+        starts, ahead, n, step = g._wave_inputs([source])
+        found = bucketed(waves.distances(starts, ahead, n, step, None), "node_id", n, "found")
+        into = bucketed(ahead, "dst", n, "into") if self.directed else ahead.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+        on = materialize(waves.tight(found, into, target), "on-paths")
+        if on.isEmpty():
+            return self.spark.createDataFrame([], schema)
+        if on.count() <= KERNEL_EDGES:
+            return Graph(on.select(F.explode(F.array("src", "dst")).alias("node_id")), on, True).shortest_path(source, target)
+        # larger: hops along these edges, then back by the edges that make up the hops
+        from_, hop_n = self._ids([source], "node_id"), buckets(on.count())
+        hops = bucketed(waves.distances(from_, bucketed(on.select("src", "dst", F.lit(1.0).alias("weight")), "src", hop_n, "ahead"), hop_n, 0.0, None), "node_id", hop_n, "hops")
+        at, path = target, []
         while at is not None:
-            row = found.where(F.col("node_id") == at).select("distance", "pred").first()
-            if row is None:
-                return self.spark.createDataFrame([], schema)
-            path.append((at, row["distance"]))
-            at = row["pred"]
+            d = found.where(F.col("node_id") == at).first()["distance"]
+            h = hops.where(F.col("node_id") == at).first()["distance"]
+            path.append((at, d))
+            before = on.where(F.col("dst") == at).select(F.col("src").alias("node_id")).join(hops.where(F.col("distance") == h - 1), "node_id", "left_semi")
+            at = before.agg(F.min("node_id")).first()[0] if h else None
         return self.spark.createDataFrame([(k, n, d) for k, (n, d) in enumerate(reversed(path))], schema)
 
     def all_edge_paths(self, source: int, targets, cutoff: int | None = None, node_simple: bool = False) -> DataFrame:
