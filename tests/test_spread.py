@@ -4,6 +4,7 @@ import pytest
 
 from meshweave import Graph
 from meshweave.operators import graph as graph_module
+from meshweave.operators import waves
 
 
 def rows(df):
@@ -37,3 +38,15 @@ def test_large_strong_components(spark, monkeypatch):
     monkeypatch.setattr(graph_module, "KERNEL_EDGES", 0)
     monkeypatch.setattr(graph_module, "COMPONENT_EDGES", 5)
     assert rows(g.strongly_connected_components()) == want
+
+
+@pytest.mark.parametrize("small", [500_000, 2])
+def test_breadth_first_ranks(spark, monkeypatch, small):
+    nodes, pairs = pieces(6, 7)
+    g = Graph.from_lists(spark, nodes, pairs)
+    source = len(nodes) - 1
+    want = rows(g.bfs(source))
+    monkeypatch.setattr(graph_module, "KERNEL_EDGES", 0)
+    monkeypatch.setattr(waves, "SMALL_WAVE", small)
+    monkeypatch.setattr(waves, "buckets", lambda rows: 3)
+    assert rows(g.bfs(source)) == want
