@@ -14,10 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.lineage import bucketed, buckets, discard, materialize
+from ..plans.lineage import Bucketed, bucketed, buckets, discard, materialize
 from . import waves
 from .labels import join_hot, label_components
 
+#: Levels of a forest up to which each node gets its path to the root.
+MOST_LEVELS = 24
+
+
 def _union(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, tables)
 
@@ -101,8 +105,10 @@ def bridges(rows: DataFrame) -> DataFrame:
 def cycle_basis(rows: DataFrame) -> DataFrame:
     """(cycle_id, position, node_id): both ends of each edge outside the forest climb, one step a round, until they meet."""
     rows = materialize(rows.select("component_id", "edge_id", "src", "dst"), "large")
-    up, _ = _forest(rows, ranked=True)
+    up, deep = _forest(rows, ranked=True)
     off = rows.join(up.where("by is not null").select(F.col("by").alias("edge_id")), "edge_id", "left_anti")
+    if deep <= MOST_LEVELS:
+        return _by_paths(off, up, deep)
     height = lambda c, as_: up.select(F.col("node").alias(c), F.col("level").alias(as_))
     one = F.lit(1).cast("long")
     # a, b: the nodes reached from either end; n, m: how many nodes each side has, the meeting one counted twice
@@ -126,6 +132,25 @@ def cycle_basis(rows: DataFrame) -> DataFrame:
     return _union(left).union(back.select("cycle_id", F.col("n") + F.col("last") - 1 - F.col("m"), "node_id"))
 
 
+def _by_paths(off: DataFrame, up: DataFrame, deep: int) -> DataFrame:
+    """The cycles of the edges ``off`` a shallow forest, from the paths of both ends to the root."""
+    n = buckets(up.count())
+    paths = Bucketed(up.sparkSession, "node", n, "paths")
+    paths.add(up.where("level = 0").select("node", "level", F.array("node").alias("path")))
+    for k in range(1, deep):
+        above = paths.read().where(F.col("level") == k - 1).select(F.col("node").alias("parent"), F.col("path").alias("rest"))
+        level = up.where(F.col("level") == k).select("node", "level", "parent").join(above, "parent")
+        paths.add(level.select("node", "level", F.concat(F.array("node"), "rest").alias("path")))
+    found = paths.done()
+    end = lambda c: found.select(F.col("node").alias(c), F.col("path").alias(f"{c}_path"))
+    both = off.select(F.col("edge_id").alias("cycle_id"), "src", "dst").join(end("src"), "src").join(end("dst"), "dst")
+    shared = F.size(F.array_intersect("src_path", "dst_path"))
+    left = F.slice("src_path", F.lit(1), F.size("src_path") - shared + 1)
+    right = F.reverse(F.slice("dst_path", F.lit(1), F.size("dst_path") - shared))
+    rows = both.select("cycle_id", F.posexplode(F.concat(left, right)).alias("position", "node_id"))
+    return rows.select("cycle_id", F.col("position").cast("long").alias("position"), "node_id")
+
+
 def strong_components(rows: DataFrame) -> DataFrame:
     """(node_id, scc_id) of strong components of two nodes or more: the smallest node.
 

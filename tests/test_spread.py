@@ -4,7 +4,7 @@ import pytest
 
 from meshweave import Graph
 from meshweave.operators import graph as graph_module
-from meshweave.operators import waves
+from meshweave.operators import spread, waves
 
 
 def rows(df):
@@ -50,3 +50,12 @@ def test_breadth_first_ranks(spark, monkeypatch, small):
     monkeypatch.setattr(waves, "SMALL_WAVE", small)
     monkeypatch.setattr(waves, "buckets", lambda rows: 3)
     assert rows(g.bfs(source)) == want
+
+
+def test_cycles_of_deep_and_shallow_forests(spark, monkeypatch):
+    g = Graph.from_lists(spark, *pieces(7, 5))
+    want = rows(g.cycle_basis())
+    monkeypatch.setattr(graph_module, "KERNEL_EDGES", 0)
+    monkeypatch.setattr(graph_module, "COMPONENT_EDGES", 5)
+    monkeypatch.setattr(spread, "MOST_LEVELS", 0)
+    assert rows(g.cycle_basis()) == want
